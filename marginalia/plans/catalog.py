@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.plans import library
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**library.QUERIES}
+ORACLES: dict[str, str] = {**library.ORACLES}

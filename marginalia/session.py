@@ -44,6 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and read it from there; survives lost executors.
+
+    A checkpoint keeps the size that was estimated for its plan. In iterations with self joins that
+    estimate is squared each time, until the digits of the number take longer than the job, so the
+    estimate is dropped; adaptive execution measures the real sizes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    saved = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
