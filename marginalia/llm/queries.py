@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import canonical
+from marginalia.llm import canonical, cooccurrence
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,48 @@ def p1_unmatched(spark: SparkSession, base: str) -> DataFrame:
     return mapped.where(mapped.normalized_name == canonical.UNMATCHED).groupBy("raw").count().withColumnRenamed("count", "n_items")
 
 
+P4_KINDS = {"tag": "tags_json", "collection": "collections_json"}
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    pairs = cooccurrence.pair_counts(read_table(spark, base, "library_items"), "item_key", P4_KINDS)
+    return pairs.select("kind", "left_value", "right_value")
+
+
+def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """All pairs in five records or more, whatever their lift."""
+    pairs = cooccurrence.pair_counts(read_table(spark, base, "library_items"), "item_key", P4_KINDS, min_pairs=5, min_lift=0)
+    return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", "lift", "pmi")
+
+
+_P4 = """
+    WITH listed AS (
+      SELECT DISTINCT kind, item_key, trim(value) AS value FROM (
+        SELECT 'tag' AS kind, item_key, unnest(from_json(CASE WHEN json_valid(tags_json) AND json_type(tags_json) = 'ARRAY' THEN tags_json END, '["VARCHAR"]')) AS value FROM library_items
+        UNION ALL
+        SELECT 'collection', item_key, unnest(from_json(CASE WHEN json_valid(collections_json) AND json_type(collections_json) = 'ARRAY' THEN collections_json END, '["VARCHAR"]')) FROM library_items)
+      WHERE trim(value) <> '' AND item_key IS NOT NULL),
+    totals AS (SELECT kind, count(DISTINCT item_key) AS n_all FROM listed GROUP BY kind),
+    singles AS (SELECT kind, value, count(*) AS n FROM listed GROUP BY kind, value),
+    pairs AS (
+      SELECT a.kind, a.value AS left_value, b.value AS right_value, count(*) AS n_both
+      FROM listed a JOIN listed b ON a.kind = b.kind AND a.item_key = b.item_key AND a.value < b.value GROUP BY ALL HAVING count(*) >= 5),
+    full_pairs AS (
+      SELECT p.*, x.n AS n_left, y.n AS n_right, n_all FROM pairs p
+      JOIN singles x ON x.kind = p.kind AND x.value = left_value
+      JOIN singles y ON y.kind = p.kind AND y.value = right_value JOIN totals t ON t.kind = p.kind)
+"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": _P4 + " SELECT kind, left_value, right_value FROM full_pairs WHERE n_both * n_all >= 4 * n_left * n_right",
+    "p4_pairs": _P4
+    + """ SELECT kind, left_value, right_value, n_both, n_left, n_right, n_all,
+          n_both * n_all / (n_left * n_right) AS lift, log2(n_both * n_all / (n_left * n_right)) AS pmi FROM full_pairs""",
+}
