@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import canonical, cooccurrence
+from marginalia.llm import canonical, cooccurrence, spans
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", "lift", "pmi")
 
 
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return spans.shared_spans(read_table(spark, base, "documents"))
+
+
+def p10_share(spark: SparkSession, base: str) -> DataFrame:
+    return spans.shared_share(read_table(spark, base, "documents"))
+
+
 _P4 = """
     WITH listed AS (
       SELECT DISTINCT kind, item_key, trim(value) AS value FROM (
@@ -60,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "p1_unmatched": p1_unmatched,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p10_found": p10_found,
+    "p10_share": p10_share,
 }
 
 ORACLES: dict[str, str] = {
