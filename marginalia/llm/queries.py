@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import canonical, cooccurrence, spans
+from marginalia.llm import canonical, contamination, cooccurrence, spans
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,16 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", "lift", "pmi")
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    found = contamination.leaked_windows(read_table(spark, base, "documents"), read_table(spark, base, "test_items"))
+    return found.select("item_id", "doc_id")
+
+
+def p9_extent(spark: SparkSession, base: str) -> DataFrame:
+    """How many windows of each leaked item a document holds, edits of one unit allowed."""
+    return contamination.leaked_windows(read_table(spark, base, "documents"), read_table(spark, base, "test_items"), max_edits=1)
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, base, "documents"))
 
@@ -68,6 +78,8 @@ QUERIES: dict[str, Query] = {
     "p1_unmatched": p1_unmatched,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p9_found": p9_found,
+    "p9_extent": p9_extent,
     "p10_found": p10_found,
     "p10_share": p10_share,
 }
