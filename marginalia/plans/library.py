@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.operators.hierarchy import collection_hierarchy
+from marginalia.operators.packed import packed_values
 from marginalia.sources.tables import read_table
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """The values of cells that hold two or more."""
+    values = packed_values(read_table(spark, base, "first_author_affiliations"), read_table(spark, base, "reading_summary"))
+    return values.where("n >= 2").select("field", "card_id", "pos", "value")
+
+
+def p3_values(spark: SparkSession, base: str) -> DataFrame:
+    """How often each value occurs in a field, single values included."""
+    values = packed_values(read_table(spark, base, "first_author_affiliations"), read_table(spark, base, "reading_summary"))
+    return values.groupBy("field", "value").agg(F.count("*").alias("n_cells"))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     found = collection_hierarchy(read_table(spark, base, "collections"))
     return found.select(F.col("node").alias("collection_key"), F.col("root").alias("root_key"), "depth", "path", "n_descendants")
@@ -37,7 +50,7 @@ _LATEST = """
     pairs AS (SELECT node AS descendant_key, depth, unnest(above) AS collection_key, unnest(range(len(above))) AS place FROM tree)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_descendants": p5_descendants}
+QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_descendants": p5_descendants}
 
 ORACLES = {
     "p5_found": _LATEST
