@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import canonical, contamination, cooccurrence, spans
+from marginalia.llm import canonical, contamination, cooccurrence, packing, spans
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,17 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", "lift", "pmi")
 
 
+def p8_containers(spark: SparkSession, base: str) -> DataFrame:
+    return packing.pack(read_table(spark, base, "documents"))
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Tokens, pieces and unused space of every container."""
+    packed = packing.pack(read_table(spark, base, "documents"))
+    filled = packed.groupBy("container").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+    return filled.withColumn("unused", F.lit(packing.CAPACITY) - F.col("n_tokens"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     found = contamination.leaked_windows(read_table(spark, base, "documents"), read_table(spark, base, "test_items"))
     return found.select("item_id", "doc_id")
@@ -78,6 +89,8 @@ QUERIES: dict[str, Query] = {
     "p1_unmatched": p1_unmatched,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_extent": p9_extent,
     "p10_found": p10_found,
