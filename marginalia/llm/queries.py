@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import canonical, contamination, cooccurrence, packing, spans
+from marginalia.llm import canonical, contamination, cooccurrence, packing, spans, variants
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def p1_unmatched(spark: SparkSession, base: str) -> DataFrame:
     return mapped.where(mapped.normalized_name == canonical.UNMATCHED).groupBy("raw").count().withColumnRenamed("count", "n_items")
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return variants.name_variants(read_table(spark, base, "first_author_affiliations"), read_table(spark, base, "library_items"))
+
+
 P4_KINDS = {"tag": "tags_json", "collection": "collections_json"}
 
 
@@ -87,6 +91,7 @@ _P4 = """
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p8_containers": p8_containers,
