@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import canonical, contamination, cooccurrence, packing, spans, variants
+from marginalia.llm import canonical, contamination, cooccurrence, language, packing, spans, variants
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,16 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", "lift", "pmi")
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return language.language_cases(read_table(spark, base, "library_items")).select("item_key", "seg_no", "language")
+
+
+def p6_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Every stretch of every item, with its confidence."""
+    found = language.language_segments(read_table(spark, base, "library_items"))
+    return found.select("item_key", "seg_no", "start", "language", F.round("confidence", 4).alias("confidence")).dropDuplicates(["item_key", "seg_no"])
+
+
 def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(read_table(spark, base, "documents"))
 
@@ -94,6 +104,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p6_found": p6_found,
+    "p6_segments": p6_segments,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
