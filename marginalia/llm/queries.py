@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import canonical, contamination, cooccurrence, language, packing, spans, variants
+from marginalia.llm import canonical, contamination, cooccurrence, language, ocr, packing, spans, variants
 from marginalia.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,14 @@ def p6_segments(spark: SparkSession, base: str) -> DataFrame:
     return found.select("item_key", "seg_no", "start", "language", F.round("confidence", 4).alias("confidence")).dropDuplicates(["item_key", "seg_no"])
 
 
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return ocr.repair_cases(read_table(spark, base, "pdf_extraction"))
+
+
+def p7_paragraphs(spark: SparkSession, base: str) -> DataFrame:
+    return ocr.repaired_paragraphs(read_table(spark, base, "pdf_extraction"))
+
+
 def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(read_table(spark, base, "documents"))
 
@@ -106,6 +114,8 @@ QUERIES: dict[str, Query] = {
     "p4_pairs": p4_pairs,
     "p6_found": p6_found,
     "p6_segments": p6_segments,
+    "p7_found": p7_found,
+    "p7_paragraphs": p7_paragraphs,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
