@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import items, library
+from marginalia.plans import changes, items, library, tags
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**library.QUERIES, **items.QUERIES}
-ORACLES: dict[str, str] = {**library.ORACLES, **items.ORACLES}
+QUERIES: dict[str, Query] = {**library.QUERIES, **items.QUERIES, **tags.QUERIES, **changes.QUERIES}
+ORACLES: dict[str, str] = {**library.ORACLES, **items.ORACLES, **tags.ORACLES, **changes.ORACLES}
