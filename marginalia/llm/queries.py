@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     """All pairs in five records or more, whatever their lift."""
     pairs = cooccurrence.pair_counts(read_table(spark, base, "library_items"), "item_key", P4_KINDS, min_pairs=5, min_lift=0)
-    return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", "lift", "pmi")
+    return pairs.select("kind", "left_value", "right_value", "n_both", "n_left", "n_right", "n_all", F.round("lift", 9).alias("lift"), F.round("pmi", 9).alias("pmi"))
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
@@ -128,5 +128,5 @@ ORACLES: dict[str, str] = {
     "p4_found": _P4 + " SELECT kind, left_value, right_value FROM full_pairs WHERE n_both * n_all >= 4 * n_left * n_right",
     "p4_pairs": _P4
     + """ SELECT kind, left_value, right_value, n_both, n_left, n_right, n_all,
-          n_both * n_all / (n_left * n_right) AS lift, log2(n_both * n_all / (n_left * n_right)) AS pmi FROM full_pairs""",
+          round(n_both * n_all / (n_left * n_right), 9) AS lift, round(log2(n_both * n_all / (n_left * n_right)), 9) AS pmi FROM full_pairs""",
 }
