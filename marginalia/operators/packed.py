@@ -50,8 +50,8 @@ def unpack(cells: DataFrame, kind: str) -> DataFrame:
             SELECT id, filter(transform(folded, v -> regexp_replace(regexp_replace(v, {marks}, ''), {marks}, '')), v -> v <> '' AND NOT v RLIKE {none}) AS found FROM (
               SELECT id, aggregate(parts, array(''), (held, more) ->
                 concat(slice(held, 1, size(held) - 1), array(concat(element_at(held, -1), more[0])), slice(more, 2, greatest(size(more) - 1, 0)))) AS folded FROM (
-                SELECT id, transform(pieces, (piece, i) -> IF(pmod(i, 2) = 1 AND i < size(pieces) - 1, array(piece), {parts})) AS parts FROM (
-                  SELECT id, IF(cell RLIKE r'^\s*\[\s*\x27', split(cell, r'\x27'), split(translate(cell, '“”＂', repeat('"', 3)), '"')) AS pieces
+                SELECT id, transform(transform(pieces, (p, i) -> IF(pmod(i, 2) = 1 AND i = size(pieces) - 1, concat(quote, p), p)), (piece, i) -> IF(pmod(i, 2) = 1 AND i < size(pieces) - 1, array(piece), {parts})) AS parts FROM (
+                  SELECT id, IF(cell RLIKE r'^\s*\[\s*\x27', chr(39), '"') AS quote, IF(cell RLIKE r'^\s*\[\s*\x27', split(cell, r'\x27'), split(translate(cell, '“”＂', repeat('"', 3)), '"')) AS pieces
                   FROM (SELECT DISTINCT id, cell FROM {cells} WHERE cell IS NOT NULL AND lower(trim(cell)) NOT IN ({unknown})))))))""",
         cells=cells,
         parts=PARTS[kind],
