@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import os
 import sys
 import tempfile
@@ -34,6 +36,19 @@ def tiny():
     return str(folder)
 
 
+def plain(v):
+    """A cell as both engines show it."""
+    if isinstance(v, (list, tuple)):
+        return tuple(plain(x) for x in v)
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
+    if isinstance(v, float):
+        return float(f"{v:.9g}")
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    return v
+
+
 def rows_of(df, *columns):
     """Rows as sorted tuples, nulls first."""
     return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
