@@ -251,13 +251,15 @@ def _segments(samples: dict[str, str]) -> Callable:
                 owner, language = k, out[-1][3]
             parts = pd.DataFrame(out, columns=["k", "seg_no", "start", "tongue", "ok", "sure", "weight"])
             parts = parts[parts.tongue >= 0]
+            if parts.empty:
+                continue
             yield pd.DataFrame(
                 {
                     "item_key": frame.item_key.to_numpy()[parts.k],
                     "label": frame.label.to_numpy()[parts.k],
                     "seg_no": parts.seg_no.astype(np.int32),
                     "start": parts.start.astype(np.int32),
-                    "language": np.array(parser.languages, dtype=object)[parts.tongue.to_numpy(int)] if len(parts) else [],
+                    "language": np.array(parser.languages, dtype=object)[parts.tongue.to_numpy(int)],
                     "confidence": parts.sure / parts.weight.clip(lower=1),
                     "n_segments": parts.groupby("k").seg_no.transform("max").astype(np.int32),
                 }
