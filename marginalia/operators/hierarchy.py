@@ -114,7 +114,8 @@ def _with_ancestors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if own:
                 rows.append((node, [x[0] for x in stack], "/".join([x[1] for x in stack] + [name])))
             stack.append((node, name, leave))
-        yield pd.DataFrame(rows, columns=["node", "ancestors", "path"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["node", "ancestors", "path"])
 
 
 def hierarchy(links: DataFrame, block: int = 4096) -> DataFrame:
