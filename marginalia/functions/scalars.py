@@ -228,3 +228,51 @@ def known_strings(x: ColumnOrName) -> Column:
 
 def numeric_year(x: ColumnOrName) -> Column:
     return year_of(x).try_cast("int")
+
+
+def file_url_path(x: ColumnOrName) -> Column:
+    """A path from a file URL: decoded, drive letters and network shares as Windows writes them; other text stays."""
+    url = trim_ws(text_of(x))
+    rest = F.url_decode(F.regexp_replace(F.regexp_replace(url, r"(?i)^file:/*", ""), r"\+", "%2B"))
+    share = F.regexp_extract(url, r"(?i)^file://([^/]+)/", 1)
+    path = F.when(rest.rlike(r"^[A-Za-z]:/"), rest).when((share != "") & (F.lower(share) != "localhost"), F.concat(F.lit("//"), rest)).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(url.rlike(r"(?i)^file:/"), path).otherwise(url)
+
+
+def name_parts(x: ColumnOrName) -> Column:
+    """``code-one-two`` as (code, first, second, raw): two splits at most, missing parts empty."""
+    parts = F.split(text_of(x), "-", 3)
+    at = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
+    return F.struct(at(0).alias("code"), at(1).alias("first"), at(2).alias("second"), text_of(x).alias("raw"))
+
+
+def short_code(x: ColumnOrName) -> Column:
+    """Capital letters and digits, eight at most; UNK without any."""
+    code = F.substring(F.regexp_replace(F.upper(text_of(x)), r"[^A-Z0-9]+", ""), 1, 8)
+    return F.when(code == "", "UNK").otherwise(code)
+
+
+def last_segment(x: ColumnOrName) -> Column:
+    return F.regexp_extract(trim_ws(text_of(x)), r"([^/]*)/*$", 1)
+
+
+def first_words(x: Column) -> Column:
+    """The first word of each entry of a list."""
+    return F.filter(F.transform(x, lambda v: F.regexp_extract(trim_ws(v), r"^(\S+)", 1)), lambda v: v != "")
+
+
+def clean_section(x: ColumnOrName) -> Column:
+    """Lines joined by blanks, blank lines and those with ? alone dropped."""
+    lines = F.filter(F.transform(F.split(text_of(x), r"\r?\n"), trim_ws), lambda v: ~v.isin("", "?"))
+    return F.array_join(lines, " ")
+
+
+def should_extract(status: Column, old_print: Column, new_print: Column, force: bool, recognise: bool) -> Column:
+    """Whether a file's text is to be extracted: forced, new, waiting for recognition that is on, or changed."""
+    changed = F.coalesce((old_print != "") & (new_print != "") & (old_print != new_print), F.lit(False))
+    return (
+        F.lit(force)
+        | status.isNull()
+        | F.coalesce((status == "needs_ocr") & F.lit(recognise), F.lit(False))
+        | (F.coalesce(~status.isin("error", "needs_ocr", "missing"), F.lit(True)) & changed)
+    )

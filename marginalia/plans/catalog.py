@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import cards, changes, items, library, tags, texts
+from marginalia.plans import cards, changes, items, library, packets, tags, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**library.QUERIES, **items.QUERIES, **tags.QUERIES, **changes.QUERIES, **cards.QUERIES, **texts.QUERIES}
-ORACLES: dict[str, str] = {**library.ORACLES, **items.ORACLES, **tags.ORACLES, **changes.ORACLES, **cards.ORACLES, **texts.ORACLES}
+QUERIES: dict[str, Query] = {**library.QUERIES, **items.QUERIES, **tags.QUERIES, **changes.QUERIES, **cards.QUERIES, **texts.QUERIES, **packets.QUERIES}
+ORACLES: dict[str, str] = {**library.ORACLES, **items.ORACLES, **tags.ORACLES, **changes.ORACLES, **cards.ORACLES, **texts.ORACLES, **packets.ORACLES}
