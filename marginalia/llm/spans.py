@@ -117,7 +117,7 @@ def shared_spans(documents: DataFrame, length: int = 240, r: int = 1) -> DataFra
         spark,
         """
         SELECT doc, collect_list(place) AS places
-        FROM {anchors} JOIN (SELECT hash FROM {anchors} GROUP BY hash HAVING min(doc) <> max(doc)) USING (hash)
+        FROM {anchors} JOIN (SELECT hash FROM {anchors} GROUP BY hash HAVING count(*) > 1) USING (hash)
         GROUP BY doc""",
         anchors=anchors,
     )
