@@ -18,6 +18,8 @@ are processed whole, whatever their length; positions count code points.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,10 +34,26 @@ from marginalia.session import cut_lineage
 CHUNK = 1_000_000
 
 
-def difference_cover(r: int = 1) -> tuple[int, list[int]]:
-    """A period v = 24 r^2 + 36 r + 13 and a cover of 6 r + 4 positions (Colbourn and Ling's rule)."""
-    steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
-    return 24 * r * r + 36 * r + 13, [int(x) for x in np.concatenate([[0], np.cumsum(steps)])]
+@functools.cache
+def difference_cover(q: int = 11) -> tuple[int, list[int]]:
+    """A period v = q^2 + q + 1 and q + 1 positions of which two differ by d, for every d modulo v; q is a prime.
+
+    Singer's rule: the powers of a root of a cubic over the field of q elements run through the points of
+    a projective plane; the exponents of the points on one line are the positions.
+    """
+    period = q * q + q + 1
+    for a, b, c in itertools.product(range(q), range(q), range(1, q)):
+        point, line, seen = (1, 0, 0), [], set()
+        for k in range(period):
+            scale = pow(next(x for x in reversed(point) if x), -1, q)
+            seen.add(tuple(x * scale % q for x in point))
+            if point[2] == 0:
+                line.append(k)
+            x, y, z = point
+            point = (z * c % q, (x + z * b) % q, (y + z * a) % q)
+        if len(seen) == period and len({(i - j) % period for i in line for j in line}) == period:
+            return period, line
+    raise ValueError("q must be a prime")
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -49,8 +67,8 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def _anchors(length: int, r: int) -> Callable:
-    period, cover = difference_cover(r)
+def _anchors(length: int, q: int) -> Callable:
+    period, cover = difference_cover(q)
     width = length - period + 1
     is_cover = np.zeros(period, bool)
     is_cover[cover] = True
@@ -72,8 +90,8 @@ def _anchors(length: int, r: int) -> Callable:
     return run
 
 
-def _windows(length: int, r: int) -> Callable:
-    period, _ = difference_cover(r)
+def _windows(length: int, q: int) -> Callable:
+    period, _ = difference_cover(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,36 +123,37 @@ def _windows(length: int, r: int) -> Callable:
     return run
 
 
-def shared_spans(documents: DataFrame, length: int = 240, r: int = 1) -> DataFrame:
+def shared_spans(documents: DataFrame, length: int = 240, q: int = 11) -> DataFrame:
     """(doc_id, span_start, span_end): the maximal runs of shared characters of ``documents(doc_id, text)``."""
     spark = documents.sparkSession
     texts = documents.selectExpr("doc_id AS doc", "text").where(F.length("text") >= length)
-    members = texts.select("doc", F.sha2("text", 256).alias("digest"), F.length("text").alias("size")).distinct()
-    groups = members.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+    members = cut_lineage(texts.select("doc", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("size")))
+    groups = members.groupBy("digest").agg(F.min("doc").alias("rep"), (F.min("doc") < F.max("doc")).alias("many"))
     kept = texts.join(groups.select(F.col("rep").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
-    anchors = kept.mapInArrow(_anchors(length, r), "hash long, doc long, place int")
+    anchors = kept.mapInArrow(_anchors(length, q), "hash long, doc long, place int")
     places = sql(
         spark,
         """
-        SELECT doc, collect_list(place) AS places
-        FROM {anchors} JOIN (SELECT hash FROM {anchors} GROUP BY hash HAVING count(*) > 1) USING (hash)
+        SELECT /*+ SHUFFLE_HASH(s) */ doc, collect_list(place) AS places
+        FROM {anchors} JOIN (SELECT hash FROM {anchors} GROUP BY hash HAVING count(*) > 1) s USING (hash)
         GROUP BY doc""",
         anchors=anchors,
     )
-    windows = kept.join(cut_lineage(places), "doc").mapInArrow(_windows(length, r), "hash long, check long, doc long, place int")
+    # a document with an equal one is shared as a whole, but its windows still count for others
+    windows = kept.join(cut_lineage(places).hint("shuffle_hash"), "doc").mapInArrow(_windows(length, q), "hash long, check long, doc long, place int")
     return sql(
         spark,
         """
         WITH found AS (
-          SELECT doc, place FROM {windows}
-          JOIN (SELECT hash, check FROM {windows} GROUP BY hash, check HAVING min(doc) <> max(doc)) USING (hash, check)
-          JOIN (SELECT rep AS doc FROM {groups} WHERE n = 1) USING (doc)),
+          SELECT /*+ SHUFFLE_HASH(s) */ doc, place FROM {windows}
+          JOIN (SELECT hash, check FROM {windows} GROUP BY hash, check HAVING min(doc) <> max(doc)) s USING (hash, check)),
         runs AS (
           SELECT doc, place, sum(opens) OVER (PARTITION BY doc ORDER BY place) AS run FROM (
             SELECT doc, place, IF(place <= lag(place) OVER (PARTITION BY doc ORDER BY place) + {length}, 0, 1) AS opens FROM found))
-        SELECT doc AS doc_id, min(place) AS span_start, max(place) + {length} AS span_end FROM runs GROUP BY doc, run
+        SELECT doc AS doc_id, min(place) AS span_start, max(place) + {length} AS span_end
+        FROM runs LEFT ANTI JOIN (SELECT rep FROM {groups} WHERE many) ON doc = rep GROUP BY doc, run
         UNION ALL
-        SELECT doc, 0, size FROM {members} JOIN (SELECT digest FROM {groups} WHERE n > 1) USING (digest)""",
+        SELECT DISTINCT doc, 0, size FROM {members} JOIN (SELECT digest FROM {groups} WHERE many) USING (digest)""",
         windows=windows,
         groups=groups,
         members=members,
@@ -142,9 +161,9 @@ def shared_spans(documents: DataFrame, length: int = 240, r: int = 1) -> DataFra
     )
 
 
-def shared_share(documents: DataFrame, length: int = 240, r: int = 1) -> DataFrame:
+def shared_share(documents: DataFrame, length: int = 240, q: int = 11) -> DataFrame:
     """(doc_id, n_chars, n_shared, share) for every document: how much of it is found elsewhere."""
-    spans = shared_spans(documents, length, r).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n_shared"))
+    spans = shared_spans(documents, length, q).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n_shared"))
     sizes = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     joined = sizes.join(spans, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
     return joined.withColumn("share", F.when(F.col("n_chars") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(0.0))

@@ -22,10 +22,10 @@ def words(rng, n):
     return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
 
 
-@pytest.mark.parametrize("r", [1, 2, 3])
-def test_cover_has_every_distance(r):
-    period, cover = spans.difference_cover(r)
-    assert len(cover) == 6 * r + 4
+@pytest.mark.parametrize("q", [2, 3, 5, 7, 11, 13])
+def test_cover_has_every_distance(q):
+    period, cover = spans.difference_cover(q)
+    assert (period, len(cover)) == (q * q + q + 1, q + 1)
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
