@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions.text import is_known
+from marginalia.session import cut_lineage
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -91,7 +92,9 @@ def numbered(rows: DataFrame, column: str, order: list[Column]) -> DataFrame:
     The rows are range-partitioned by ``order``; each partition numbers its own rows and is offset by
     the rows of the partitions before it.
     """
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    spread = cut_lineage(spread)  # the numbers of partitions and rows must be the same for both sides of the join
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     pairs = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left")
     offsets = pairs.groupBy(F.col("a._part").alias("_part"), F.col("a._first").alias("_first")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
