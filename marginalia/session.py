@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     saved = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per context, so that they need no path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_marginalia_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="marginalia-")) / "marginalia.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, str(path.relative_to(package.parent)))
+    context.addPyFile(str(archive))  # the driver serves it to every executor
+    context._marginalia_shipped = True
