@@ -217,15 +217,20 @@ def map_to_list(cases: DataFrame, rankings: DataFrame) -> DataFrame:
     aliases = cut_lineage(_aliases(listed, rankings))
     values = sql(spark, "SELECT raw FROM {c} UNION SELECT hint FROM {c} WHERE hint IS NOT NULL", c=cases)
     typed = cut_lineage(_typed(values))
-    pairs = pigeonhole_pairs(aliases, typed)
-    found = sql(
-        spark,
-        r"""
-        SELECT t.raw, t.typed, t.words, a.entry, a.kind, p.d, a.words AS alias_words
-        FROM {p} p JOIN {t} t ON t.typed = p.typed JOIN {a} a ON a.alias = p.alias""",
-        p=pairs,
-        t=typed,
-        a=aliases,
+    # a value that is an alias as it stands needs no search for near ones
+    exact = sql(spark, "SELECT DISTINCT raw, typed, alias FROM {t} JOIN {a} ON typed = alias", t=typed, a=aliases)
+    rest = sql(spark, "SELECT * FROM {t} LEFT ANTI JOIN {e} USING (raw)", t=typed, e=exact)
+    pairs = pigeonhole_pairs(aliases, rest).select("typed", "alias", "d").union(sql(spark, "SELECT DISTINCT typed, alias, 0 AS d FROM {e}", e=exact)).distinct()
+    found = cut_lineage(
+        sql(
+            spark,
+            r"""
+            SELECT t.raw, t.typed, t.words, a.entry, a.kind, p.d, a.words AS alias_words
+            FROM {p} p JOIN {t} t ON t.typed = p.typed JOIN {a} a ON a.alias = p.alias""",
+            p=pairs,
+            t=typed,
+            a=aliases,
+        )
     )
     # words of the typed value that the list knows but the alias lacks
     strange = sql(
@@ -296,7 +301,7 @@ def venue_cases(items: DataFrame, rankings: DataFrame) -> DataFrame:
 
 def map_venues(items: DataFrame, rankings: DataFrame) -> DataFrame:
     """(item_key, raw, normalized_name, distance), one row for every case; ``unmatched`` where nothing fits."""
-    cases = venue_cases(items, rankings)
+    cases = cut_lineage(venue_cases(items, rankings))
     mapped = map_to_list(cases.select("raw", "hint").distinct(), rankings)
     return sql(
         cases.sparkSession,
