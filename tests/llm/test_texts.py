@@ -137,6 +137,22 @@ def test_repair_finds_the_planted_cases(spark):
     assert "=====" not in text
 
 
+def test_kinds_of_misreadings_are_counted_over_all_words(spark):
+    rights = [w for w in VOCABULARY if w.count("m") == 1 and len(w) >= 6]
+    han = [chr(0x4E00 + k % 20_000) + chr(0x4E00 + k // 20_000) for k in range(60_000)]
+    text = " ".join(" ".join(rights) for _ in range(40)) + "\n" + " ".join(w.replace("m", "rn") for w in rights) + "\n"
+    rows = [("a", "ok", text, 0, "")] + [(f"h{k}", "ok", " ".join(han[k : k + 1000]), 0, "") for k in range(0, len(han), 1000)]
+    found = ocr.repair_cases(spark.createDataFrame(rows, P)).where("kind = 'misread'").select("attachment_key", "fixed").collect()
+    assert len(rights) >= 6 and {tuple(r) for r in found} == {("a", w) for w in rights}
+
+
+def test_every_usual_kind_has_examples(spark):
+    words = [("".join(random.Random(k).choices("abdfgh", k=9)), k) for k in range(9_000)]
+    found = [(w + "rn", w + "m", "rn", "m") for w, _ in words] + [(w + "cl", w + "d", "cl", "d") for w, k in words if k < 60]
+    drawn = ocr.training_pairs(spark.createDataFrame(sorted(set(found)), "word string, right string, wrong string, op string"))
+    assert len(drawn) <= ocr.TRAIN_PAIRS and sum(w.endswith("cl") for w, _ in drawn) >= ocr.KIND_PAIRS
+
+
 def test_repair_without_rows(spark):
     assert ocr.repair_cases(spark.createDataFrame([], P)).count() == 0
     assert ocr.repair_cases(spark.createDataFrame([("a", "ok", "word " * 20_000, 0, "")], P)).where("kind = 'misread'").count() == 0
