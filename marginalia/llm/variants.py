@@ -260,24 +260,34 @@ def creator_spellings(items: DataFrame) -> DataFrame:
 def parse_people(names: DataFrame) -> DataFrame:
     """(spelling, family, given, initials) of names in Latin script.
 
-    The family name stands before a comma, or is in capitals, or is the longest token but for those that
-    go with eight or more other tokens, which are given names.
+    The family name stands before a comma, or is in capitals. Elsewhere it is the token with the greater
+    share of uses as a family name where that is certain (before a comma, in capitals, alone with initials),
+    then with the greater share of last places, then the longest. Tokens never seen count as even. These are
+    shares of each token's own uses, so how many people bear a name makes no difference.
     """
     return sql(
         names.sparkSession,
         r"""
         WITH words AS (
-          SELECT spelling, contains(spelling, ',') AS comma, filter(split(spelling, r'[^\p{L}\p{M}''’-]+'), w -> w <> '') AS raw FROM {names} WHERE NOT spelling RLIKE r'{HAN}'),
+          SELECT spelling, contains(spelling, ',') AS comma, size(filter(split(substring_index(spelling, ',', 1), r'[^\p{L}\p{M}''’-]+'), w -> w <> '')) AS before,
+                 filter(split(spelling, r'[^\p{L}\p{M}''’-]+'), w -> w <> '') AS raw FROM {names} WHERE NOT spelling RLIKE r'{HAN}'),
         tokens AS (
-          SELECT spelling, comma, place, word, regexp_replace(translate(lower(word), '{ACCENTED}', '{BASE}'), r'[^\p{L}]', '') AS token,
+          SELECT spelling, comma, before, place, word, regexp_replace(translate(lower(word), '{ACCENTED}', '{BASE}'), r'[^\p{L}]', '') AS token,
                  word = upper(word) AND length(word) > 3 AS capital, length(word) = 1 OR (length(word) <= 3 AND word = upper(word)) AS initial
-          FROM (SELECT spelling, comma, posexplode(raw) AS (place, word) FROM words)),
-        partners AS (
-          SELECT a.token, count(DISTINCT b.token) AS n FROM tokens a JOIN tokens b ON a.spelling = b.spelling AND a.place <> b.place
-          WHERE NOT a.initial AND NOT b.initial GROUP BY a.token),
+          FROM (SELECT spelling, comma, before, posexplode(raw) AS (place, word) FROM words)),
+        written AS (
+          SELECT spelling, count_if(NOT initial) AS n_words, count_if(initial) AS n_initials, count_if(capital) AS n_capitals, max(IF(initial, NULL, place)) AS last FROM tokens GROUP BY spelling),
+        uses AS (
+          SELECT token, CASE WHEN comma THEN CASE WHEN place = 0 THEN true WHEN place >= before THEN false END
+                             WHEN n_capitals BETWEEN 1 AND n_words - 1 THEN capital
+                             WHEN n_words = 1 AND n_initials > 0 THEN true END AS sure,
+                 NOT comma AND n_capitals IN (0, n_words) AND n_words > 1 AS plain, place = last AS at_end
+          FROM tokens JOIN written USING (spelling) WHERE NOT initial),
+        shares AS (
+          SELECT token, (count_if(sure) + 1) / (count(sure) + 2) AS family_share, (count_if(plain AND at_end) + 1) / (count_if(plain) + 2) AS end_share FROM uses GROUP BY token),
         chosen AS (
-          SELECT spelling, max_by(t.token, struct(comma AND place = 0, capital, coalesce(n, 0) < 8, length(t.token), -place)) AS family
-          FROM tokens t LEFT JOIN partners p ON t.token = p.token WHERE NOT initial GROUP BY spelling)
+          SELECT spelling, max_by(t.token, struct(comma AND place = 0, capital, family_share, end_share, length(t.token), -place)) AS family
+          FROM tokens t JOIN shares s ON t.token = s.token WHERE NOT initial GROUP BY spelling)
         SELECT c.spelling, c.family, min_by(IF(t.initial OR t.token = c.family, NULL, t.token), t.place) AS given,
                upper(coalesce(array_join(transform(array_sort(collect_list(IF(t.token = c.family, NULL, struct(t.place, IF(t.initial, t.word, left(t.word, 1)) AS letters)))), x -> x.letters), ''), '')) AS initials
         FROM chosen c JOIN tokens t ON c.spelling = t.spelling GROUP BY c.spelling, c.family""".replace("''’", r"\x27’"),

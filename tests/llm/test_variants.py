@@ -61,6 +61,15 @@ def test_people(spark):
         assert frozenset((a, b)) not in linked
 
 
+def test_family_names_borne_by_many(spark):
+    given = ["Zebulon", "Alexander", *("".join(random.Random(k).choices("bdfgklmn", k=7)).title() for k in range(40))]
+    plain = [f"{g} {f}" for f in ("Smith", "Kruger") for g in given]
+    for more in ([], plain):  # further bearers change nothing
+        names = ["Smith, Zebulon", "Zebulon SMITH", "Zebulon Smith", "Smith Zebulon", "Alexander Smith", "Smith, Alexander", *more]
+        families = {r.spelling: r.family for r in variants.parse_people(spark.createDataFrame([(n,) for n in sorted(set(names))], "spelling string")).collect()}
+        assert families == {n: "kruger" if "Kruger" in n else "smith" for n in families}
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
