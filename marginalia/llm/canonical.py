@@ -217,9 +217,9 @@ def map_to_list(cases: DataFrame, rankings: DataFrame) -> DataFrame:
     aliases = cut_lineage(_aliases(listed, rankings))
     values = sql(spark, "SELECT raw FROM {c} UNION SELECT hint FROM {c} WHERE hint IS NOT NULL", c=cases)
     typed = cut_lineage(_typed(values))
-    # a value that is an alias as it stands needs no search for near ones
-    exact = sql(spark, "SELECT DISTINCT raw, typed, alias FROM {t} JOIN {a} ON typed = alias", t=typed, a=aliases)
-    rest = sql(spark, "SELECT * FROM {t} LEFT ANTI JOIN {e} USING (raw)", t=typed, e=exact)
+    # a reading that is an alias as it stands needs no search for near ones, unless the alias is an acronym; other readings of its value do
+    exact = sql(spark, "SELECT DISTINCT raw, typed, alias, kind FROM {t} JOIN {a} ON typed = alias", t=typed, a=aliases)
+    rest = sql(spark, "SELECT * FROM {t} LEFT ANTI JOIN (SELECT raw, typed FROM {e} WHERE kind <> 'acronym') USING (raw, typed)", t=typed, e=exact)
     pairs = pigeonhole_pairs(aliases, rest).select("typed", "alias", "d").union(sql(spark, "SELECT DISTINCT typed, alias, 0 AS d FROM {e}", e=exact)).distinct()
     found = cut_lineage(
         sql(

@@ -53,6 +53,12 @@ def test_abbreviation_decides_a_tie(spark):
     assert found == {"a": "annalsboldcats", "b": "actabetacede", "c": "unmatched"}
 
 
+def test_other_readings_are_searched_beside_an_acronym(spark):
+    items = [("a", "LQW / Archive of Windy Rooof Sciense", "Arch. Win. Roo. Sci.", "", ""), ("b", "LQW", None, "", "")]
+    found = {r.item_key: r.normalized_name for r in canonical.map_venues(spark.createDataFrame(items, I), spark.createDataFrame(LIST, R)).collect()}
+    assert found == {"a": "archiveofwindyroofscience", "b": "lettersonquietwalls"}
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], R), spark.createDataFrame(LIST, R)
     assert canonical.map_venues(spark.createDataFrame([], I), some).count() == 0
