@@ -37,5 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         changed = not new.exceptAll(links).isEmpty() or new.count() != links.count()
         links = new
         if not changed:
-            break
-    return sql(spark, "SELECT u AS node, v AS root FROM {links} UNION SELECT v, v FROM {links}", links=links)
+            return sql(spark, "SELECT u AS node, v AS root FROM {links} UNION SELECT v, v FROM {links}", links=links)
+    raise RuntimeError("the components did not settle")

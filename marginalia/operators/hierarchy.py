@@ -11,12 +11,12 @@
    stack over bounded blocks of a tour, ancestors and paths.
 
 Sibling order is by hashed bucket, then key, so a parent that holds a third of all rows is spread over
-buckets instead of one sort.
+buckets of about ``SIBLINGS`` nodes instead of one sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -85,65 +85,89 @@ def euler_arcs(forest: DataFrame, buckets: int = 32) -> DataFrame:
 
 
 def rank_list(arcs: DataFrame) -> DataFrame:
-    """Pointer jumping: pos and balance summed from each arc to the end of its list, tail its last arc."""
+    """Pointer jumping: pos and balance summed from each arc to the end of its list, tail its last arc.
+
+    A round follows three pointers, so the reach of an arc grows fourfold. Arcs that have reached the end
+    only serve as targets; an arc that reaches it within a round looks for no further target (its stand-in
+    key fits none, and differs from arc to arc, so that no partition gathers them).
+    """
     state = cut_lineage(arcs)
-    for _ in range(64):
+    for _ in range(32):
         if state.where("next IS NOT NULL").isEmpty():
             return state
         state = cut_lineage(
             sql(
                 state.sparkSession,
                 """
-                SELECT a.arc, b.next, a.pos + coalesce(b.pos, 0L) AS pos, a.balance + coalesce(b.balance, 0L) AS balance, coalesce(b.tail, a.tail) AS tail
-                FROM {state} a LEFT JOIN {state} b ON a.next = b.arc""",
+                SELECT arc, next, pos, balance, tail FROM {state} WHERE next IS NULL
+                UNION ALL
+                SELECT a.arc, coalesce(d.next, IF(d.arc IS NULL, coalesce(c.next, IF(c.arc IS NULL, b.next, NULL)), NULL)) AS next,
+                       a.pos + b.pos + coalesce(c.pos, 0L) + coalesce(d.pos, 0L) AS pos, a.balance + b.balance + coalesce(c.balance, 0L) + coalesce(d.balance, 0L) AS balance,
+                       coalesce(d.tail, c.tail, b.tail) AS tail
+                FROM {state} a
+                JOIN {state} b ON a.next = b.arc
+                LEFT JOIN {state} c ON coalesce(b.next, a.arc || '!') = c.arc
+                LEFT JOIN {state} d ON coalesce(c.next, a.arc || '!') = d.arc
+                WHERE a.next IS NOT NULL""",
                 state=state,
             )
         )
     raise RuntimeError("a list has no end")
 
 
-def _with_ancestors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    block, stack = None, []
-    for frame in frames:
-        rows = []
-        for root, part, own, node, name, entry, leave in zip(frame.root, frame.part, frame.own, frame.node, frame.name, frame.entry, frame.leave):
-            if (root, part) != block:
-                block, stack = (root, part), []
-            while stack and stack[-1][2] > entry:
-                stack.pop()
-            if own:
-                rows.append((node, [x[0] for x in stack], "/".join([x[1] for x in stack] + [name])))
-            stack.append((node, name, leave))
-        if rows:
-            yield pd.DataFrame(rows, columns=["node", "ancestors", "path"])
+def _scan(keep: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One pass over blocks of tours with the stack of open nodes: paths, and ancestors if they are kept."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, stack = None, []
+        for frame in frames:
+            rows = []
+            for top, part, own, node, name, entry, leave in zip(frame.top, frame.part, frame.own, frame.node, frame.name, frame.entry, frame.leave):
+                if (top, part) != block:
+                    block, stack = (top, part), []
+                while stack and stack[-1][1] > entry:
+                    stack.pop()
+                path = f"{stack[-1][2]}/{name}" if stack else name
+                if own:
+                    rows.append((node, [x[0] for x in stack] if keep else None, path))
+                stack.append((node, leave, path))
+            if rows:
+                yield pd.DataFrame(rows, columns=["node", "ancestors", "path"])
 
-def hierarchy(links: DataFrame, block: int = 4096) -> DataFrame:
-    """(node, root, depth, path, ancestors, n_descendants, cyclic) for ``links(node, parent, name)``.
+    return run
 
-    One row per node, parents resolved (null: a root). Nodes that never reach a root have cyclic = true,
-    root ``cycle``, depth -1, an empty path, no ancestors and -1 descendants.
+
+#: Nodes of a bucket of siblings, about.
+SIBLINGS = 50_000
+
+
+def toured(links: DataFrame, block: int = 4096, ancestors: bool = True, cyclic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The tours of ``links(node, parent, name)`` and what one scan over them gives.
+
+    The first table is (node, name, top, cyclic, depth, entry, leave, closes): top is the root of the tree,
+    or the node at which a cycle was cut, and closes is the parent that node had. The second is (node,
+    ancestors, path), below the top of its tree; nodes of cyclic trees are left out unless ``cyclic``.
     """
     spark = links.sparkSession
     links = cut_lineage(links.select("node", "parent", "name"))
-    cut = cycle_nodes(links.select("node", "parent").where("parent IS NOT NULL"))
+    cut = cut_lineage(sql(spark, "SELECT c.node, l.parent AS closes FROM {cut} c JOIN {links} l ON c.node = l.node", cut=cycle_nodes(links.select("node", "parent").where("parent IS NOT NULL")), links=links))
     forest = sql(
         spark,
         "SELECT l.node, IF(c.node IS NULL, l.parent, NULL) AS parent FROM {links} l LEFT JOIN {cut} c ON l.node = c.node",
         links=links,
         cut=cut,
     )
-    ranked = rank_list(euler_arcs(forest))
+    ranked = rank_list(euler_arcs(forest, max(32, links.count() // SIBLINGS)))
     spans = cut_lineage(
         sql(
             spark,
             """
-            SELECT r.node, l.name, r.root, c.node IS NOT NULL AS cyclic, r.depth, r.entry, r.leave
-            FROM (SELECT left(arc, length(arc) - 1) AS node, min(left(tail, length(tail) - 1)) AS root, max(pos) AS entry, min(pos) AS leave,
+            SELECT r.node, l.name, r.top, c.node IS NOT NULL AS cyclic, c.closes, r.depth, r.entry, r.leave
+            FROM (SELECT left(arc, length(arc) - 1) AS node, min(left(tail, length(tail) - 1)) AS top, max(pos) AS entry, min(pos) AS leave,
                          -max_by(balance, pos) AS depth
                   FROM {ranked} GROUP BY left(arc, length(arc) - 1)) r
             JOIN {links} l ON r.node = l.node
-            LEFT JOIN {cut} c ON r.root = c.node""",
+            LEFT JOIN {cut} c ON r.top = c.node""",
             ranked=ranked,
             links=links,
             cut=cut,
@@ -153,22 +177,30 @@ def hierarchy(links: DataFrame, block: int = 4096) -> DataFrame:
     placed = sql(
         spark,
         """
-        SELECT root, entry div {block} AS part, TRUE AS own, node, name, entry, leave FROM {spans} WHERE NOT cyclic
+        SELECT top, entry div {block} AS part, TRUE AS own, node, name, entry, leave FROM {spans} WHERE {wanted}
         UNION ALL
-        SELECT root, explode(sequence(leave div {block}, entry div {block} - 1)), FALSE, node, name, entry, leave
-        FROM {spans} WHERE NOT cyclic AND entry div {block} > leave div {block}""",
+        SELECT top, explode(sequence(leave div {block}, entry div {block} - 1)), FALSE, node, name, entry, leave
+        FROM {spans} WHERE {wanted} AND entry div {block} > leave div {block}""",
         spans=spans,
         block=block,
+        wanted="TRUE" if cyclic else "NOT cyclic",
     )
-    scanned = (
-        placed.repartition("root", "part")
-        .sortWithinPartitions("root", "part", F.desc("entry"))
-        .mapInPandas(_with_ancestors, "node string, ancestors array<string>, path string")
-    )
+    scanned = placed.repartition("top", "part").sortWithinPartitions("top", "part", F.desc("entry")).mapInPandas(_scan(ancestors), "node string, ancestors array<string>, path string")
+    return spans, scanned
+
+
+def hierarchy(links: DataFrame, block: int = 4096, ancestors: bool = True) -> DataFrame:
+    """(node, root, depth, path, ancestors, n_descendants, cyclic) for ``links(node, parent, name)``.
+
+    One row per node, parents resolved (null: a root). Nodes that never reach a root have cyclic = true,
+    root ``cycle``, depth -1, an empty path, no ancestors and -1 descendants. Where ancestors aren't asked
+    for, their lists are neither built nor kept.
+    """
+    spans, scanned = toured(links, block, ancestors)
     return sql(
-        spark,
+        links.sparkSession,
         """
-        SELECT s.node, IF(cyclic, '{mark}', root) AS root, CAST(IF(cyclic, -1, depth) AS INT) AS depth, coalesce(p.path, '') AS path,
+        SELECT s.node, IF(cyclic, '{mark}', top) AS root, CAST(IF(cyclic, -1, depth) AS INT) AS depth, coalesce(p.path, '') AS path,
                coalesce(p.ancestors, CAST(array() AS ARRAY<STRING>)) AS ancestors, CAST(IF(cyclic, -1, (entry - leave - 1) div 2) AS INT) AS n_descendants, cyclic
         FROM {spans} s LEFT JOIN {scanned} p ON s.node = p.node""",
         spans=spans,
@@ -201,6 +233,6 @@ def latest_links(collections: DataFrame) -> DataFrame:
     )
 
 
-def collection_hierarchy(collections: DataFrame) -> DataFrame:
+def collection_hierarchy(collections: DataFrame, ancestors: bool = True) -> DataFrame:
     """The hierarchy of the collections table; an empty table gives no rows, further columns are ignored."""
-    return hierarchy(latest_links(collections))
+    return hierarchy(latest_links(collections), ancestors=ancestors)

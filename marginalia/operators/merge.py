@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.text import is_known
 from marginalia.session import cut_lineage
@@ -96,7 +96,7 @@ def numbered(rows: DataFrame, column: str, order: list[Column]) -> DataFrame:
     spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     spread = cut_lineage(spread)  # the numbers of partitions and rows must be the same for both sides of the join
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    pairs = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-    offsets = pairs.groupBy(F.col("a._part").alias("_part"), F.col("a._first").alias("_first")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    # a running sum over one row per partition
+    offsets = sizes.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     joined = spread.join(F.broadcast(offsets), "_part")  # one row per partition
     return joined.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(column))

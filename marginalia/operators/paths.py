@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions.sql import sql
+from marginalia.operators.hierarchy import toured
+from marginalia.session import cut_lineage
 
 
 def prefixes(x: Column) -> Column:
@@ -29,17 +31,38 @@ def walk_up(links: DataFrame) -> DataFrame:
     """(node, path): names from the top down for ``links(node, parent, name)``.
 
     A parent that isn't a node gives its key as the topmost part; a cycle is broken at the first node
-    that comes again. Every node walks up at the same time, one step a round.
+    that comes again, as if every node walked up on its own.
+
+    Paths come from the tours of the forest, so rounds grow with the logarithm of the depth. Missing
+    parents take part as roots named by their key. A cycle is cut at one node; below it a path holds the
+    cycle's nodes k0 to ki and goes on, and walking up from ki would go round, over the rest of the cycle.
     """
+    spark = links.sparkSession
+    whole = sql(
+        spark,
+        """
+        SELECT node, parent, name FROM {links}
+        UNION ALL
+        SELECT DISTINCT parent, CAST(NULL AS STRING), parent FROM {links} l LEFT ANTI JOIN (SELECT node AS held FROM {links}) h ON l.parent = h.held WHERE parent IS NOT NULL""",
+        links=links,
+    )
+    spans, scanned = toured(whole, cyclic=True)
+    paths = cut_lineage(sql(spark, "SELECT s.node, s.name, s.top, s.cyclic, s.closes, p.ancestors, p.path FROM {spans} s JOIN {scanned} p ON s.node = p.node", spans=spans, scanned=scanned))
+    rings = sql(
+        spark,
+        """
+        SELECT r.top, array_sort(collect_list(struct(r.place, r.at, n.name))) AS ring
+        FROM (SELECT top, posexplode(array_append(ancestors, node)) AS (place, at) FROM {paths} WHERE cyclic AND node = closes) r JOIN {paths} n ON r.at = n.node
+        GROUP BY r.top""",
+        paths=paths,
+    )
     return sql(
-        links.sparkSession,
+        spark,
         """
-        WITH RECURSIVE up(node, at, path, seen, steps) MAX RECURSION LEVEL 1000 AS (
-          SELECT node, parent, name, array(node), 0 FROM {links}
-          UNION ALL
-          SELECT u.node, IF(l.node IS NULL, NULL, l.parent), concat(coalesce(l.name, u.at), '/', u.path), array_append(u.seen, u.at), u.steps + 1
-          FROM up u LEFT JOIN {links} l ON u.at = l.node
-          WHERE u.at IS NOT NULL AND NOT array_contains(u.seen, u.at))
-        SELECT node, max_by(path, steps) AS path FROM up GROUP BY node""",
+        SELECT l.node, coalesce(concat(array_join(transform(slice(ring, 1 + size(array_intersect(array_append(ancestors, l.node), transform(ring, x -> x.at))), size(ring)), x -> x.name), '/'),
+                                       IF(size(array_intersect(array_append(ancestors, l.node), transform(ring, x -> x.at))) < size(ring), '/', ''), path), path) AS path
+        FROM (SELECT node FROM {links}) l JOIN {paths} p ON l.node = p.node LEFT JOIN {rings} r ON p.cyclic AND p.top = r.top""",
         links=links,
+        paths=paths,
+        rings=rings,
     )

@@ -98,9 +98,9 @@ def filled_summary(spark: SparkSession, base: str) -> DataFrame:
 
 def merged_summary(spark: SparkSession, base: str) -> DataFrame:
     """Summary rows merged with fresh card rows: known fresh cells win, cards that only one side has stay."""
-    existing = summary_rows(spark, base).select("item_key", "card_id", F.lit("summary").alias("origin")).where("card_id < 'RC-00000300'")
+    existing = summary_rows(spark, base).select("item_key", "card_id", F.lit("summary").alias("origin"))
     existing = existing.groupBy("item_key").agg(F.min("card_id").alias("card_id"), F.min("origin").alias("origin"))
-    fresh = card_rows(spark, base).select(F.col("zotero_item_key").alias("item_key"), "card_id", F.when(F.col("first_author_affiliation_status") == "ok", "card").otherwise("?").alias("origin")).where("card_id >= 'RC-00000100'")
+    fresh = card_rows(spark, base).select(F.col("zotero_item_key").alias("item_key"), "card_id", F.when(F.col("first_author_affiliation_status") == "ok", "card").otherwise("?").alias("origin"))
     return merge.merge_known(existing, fresh, "item_key")
 
 
@@ -211,9 +211,9 @@ ORACLES = {
     + " FROM summary s LEFT JOIN latest l ON l.item_key = s.item_key",
     "merged_summary": "WITH "
     + _SUMMARY
-    + f""", existing AS (SELECT item_key, min(card_id) AS card_id, 'summary' AS origin FROM summary WHERE card_id < 'RC-00000300' GROUP BY item_key),
+    + f""", existing AS (SELECT item_key, min(card_id) AS card_id, 'summary' AS origin FROM summary GROUP BY item_key),
       keyed AS (SELECT lower(item_key) AS k, * FROM existing WHERE {_known("item_key")}),
-      fresh AS (SELECT zotero_item_key AS item_key, card_id, CASE WHEN first_author_affiliation_status = 'ok' THEN 'card' ELSE '?' END AS origin FROM cards WHERE card_id >= 'RC-00000100')
+      fresh AS (SELECT zotero_item_key AS item_key, card_id, CASE WHEN first_author_affiliation_status = 'ok' THEN 'card' ELSE '?' END AS origin FROM cards)
       SELECT f.item_key, f.card_id, CASE WHEN f.origin <> '?' THEN f.origin ELSE coalesce(e.origin, '') END AS origin FROM fresh f LEFT JOIN keyed e ON e.k = lower(f.item_key) AND {_known("f.item_key")}
       UNION ALL SELECT item_key, card_id, origin FROM keyed WHERE k NOT IN (SELECT lower(item_key) FROM fresh WHERE {_known("item_key")})""",
     "numbered_cards": "WITH " + _SUMMARY + " SELECT card_id, number, printf('RC-%06d', number) AS label FROM (SELECT card_id, row_number() OVER (ORDER BY card_path, card_id) AS number FROM cards)",

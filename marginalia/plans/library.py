@@ -22,7 +22,7 @@ def p3_values(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    found = collection_hierarchy(read_table(spark, base, "collections"))
+    found = collection_hierarchy(read_table(spark, base, "collections"), ancestors=False)
     return found.select(F.col("node").alias("collection_key"), F.col("root").alias("root_key"), "depth", "path", "n_descendants")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import itertools
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,28 +37,37 @@ def local_session(cores: int | str = 4, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a private folder only where none is named."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cut lineage: the shared one that spark.checkpoint.dir names; a private one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "marginalia-checkpoints"))
+    return named or (Path(tempfile.gettempdir()) / "marginalia-lineage").as_uri()
+
+
+_tables = itertools.count()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there; survives lost executors.
+    """Write df as a table in the shared folder and read it from there: nothing before it is computed again, whoever is lost.
 
-    A checkpoint keeps the size that was estimated for its plan. In iterations with self joins that
-    estimate is squared each time, until the digits of the number take longer than the job, so the
-    estimate is dropped; adaptive execution measures the real sizes.
+    A written table also tells the optimizer its size, so small sides of later joins are broadcast by the
+    size check, and iterations with self joins keep no growing plans or estimates. Tables of an application
+    lie in one folder, which is deleted when its driver ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    saved = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+    own = f"{shared_folder(spark).rstrip('/')}/marginalia-{spark.conf.get('spark.app.id', 'app')}"
+    path = f"{own}/{next(_tables)}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    _delete_at_end(spark, own)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    jvm = getattr(spark, "_jvm", None)  # without a JVM beside it (a remote session) the server's own clean-up holds
+    if jvm is not None:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -64,9 +76,11 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_marginalia_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="marginalia-")) / "marginalia.zip"
+    folder = tempfile.mkdtemp(prefix="marginalia-")  # the driver serves the archive to every executor from here, as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "marginalia.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(package.rglob("*.py")):
             z.write(path, str(path.relative_to(package.parent)))
-    context.addPyFile(str(archive))  # the driver serves it to every executor
+    context.addPyFile(str(archive))
     context._marginalia_shipped = True

@@ -3,6 +3,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from marginalia.operators import paths
 from marginalia.operators.graph import components
 from marginalia.operators.hierarchy import collection_hierarchy, cycle_nodes, hierarchy
 
@@ -88,3 +89,26 @@ def test_components(spark):
     assert found["x"] == found["y"] == "x" and "z" not in found
     assert len({found[f"h{k}"] for k in range(100)}) == 1
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_paths_of_a_long_chain_and_of_cycles(spark):
+    """Walking up from every node, against a plain walk; a chain of 10,000 nodes takes rounds by the logarithm."""
+    rng = random.Random(8)
+    parents = {f"C{k}": f"C{k - 1}" if k else "gone" for k in range(300)}
+    parents |= {f"R{k}": f"R{(k + 1) % 5}" for k in range(5)} | {"S": "S", "T": "S", "r": None}
+    for k in range(80):
+        parents[f"N{k}"] = rng.choice(["R1", "R4", "S", "r", "lost", *list(parents)[300:]])
+
+    def walk(k):
+        seen, out = [k], [k.lower()]
+        while parents.get(seen[-1]) is not None and parents[seen[-1]] not in seen:
+            seen.append(parents[seen[-1]])
+            out.append(seen[-1].lower() if seen[-1] in parents else seen[-1])
+        return "/".join(out[::-1])
+
+    links = spark.createDataFrame([(k, p, k.lower()) for k, p in parents.items()], "node string, parent string, name string")
+    assert {r.node: r.path for r in paths.walk_up(links).collect()} == {k: walk(k) for k in parents}
+    long = spark.range(10_000).selectExpr("concat('C', id) AS node", "IF(id = 0, NULL, concat('C', id - 1)) AS parent", "'n' AS name")
+    found = hierarchy(long, ancestors=False)
+    assert found.agg({"depth": "max"}).first()[0] == 9_999
+    assert found.where("node = 'C9999'").first().path == "/".join(["n"] * 10_000)
