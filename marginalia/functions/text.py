@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Cells that mean "no value".
@@ -32,3 +34,8 @@ def known(x: ColumnOrName) -> Column:
 def journal_key(x: ColumnOrName) -> Column:
     """Lower case, letters, digits and underscore only."""
     return F.regexp_replace(F.lower(as_col(x)), r"[^\p{L}\p{N}_]+", "")
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))

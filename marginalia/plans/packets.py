@@ -136,7 +136,22 @@ QUERIES = {
 
 _STEM = "CASE stem " + " ".join(f"WHEN '{s}' THEN '{f}'" for s, f in FAMILIES) + " ELSE 'Unassigned' END"
 
+_PLACES = "(?i)(?:^|[^\\p{L}])(?:university|universität|universidad|université|polytechnic|institute|institut|academy|college|school|faculty|department|laboratory|hospital|centre|center|company|corporation)(?:[^\\p{L}]|$)|大学|学院|研究所|研究院|科学院|实验室|医院|公司"
+_OTHERS = "(?i)(?:^|[^\\p{L}])(?:abstract|summary|keywords|key words|doi|received|accepted|published|email|e-mail|phone|copyright)(?:[^\\p{L}]|$)|摘要|关键词|收稿日期|通信作者|作者简介"
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace({0}, '^[^\\p{{L}}\\p{{Nd}}]+', ''), '^[a-z0-9][ ,)]+(\\p{{Lu}}|\\p{{Han}})', '\\1'), '[ ,;]+$', '')"
+
 ORACLES = {
+    # lines as rows: the first line of a place, then the two behind it up to one that is something else
+    "affiliation_candidates": f"""
+      WITH page AS (SELECT attachment_key || md5(text) AS k, attachment_key, text, regexp_split_to_array(replace(replace(text, e'\\r\\n', e'\\n'), e'\\r', e'\\n'), '(?m)^===== Page [0-9]+ =====[ \\t]*$') AS parts
+        FROM (SELECT DISTINCT attachment_key, text FROM pdf_extraction WHERE status = 'ok')),
+      first AS (SELECT k, attachment_key, rtrim(substr(trim(regexp_replace(regexp_replace(CASE WHEN len(parts) > 1 THEN parts[2] ELSE text END, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', e'\\n\\n', 'g'), e' \\t\\n\\r'), 1, 4000), e' \\t\\n\\r') AS t FROM page),
+      lined AS (SELECT k, trim(unnest(string_split(t, e'\\n'))) AS line, generate_subscripts(string_split(t, e'\\n'), 1) AS n FROM first),
+      kept AS (SELECT k, line, row_number() OVER (PARTITION BY k ORDER BY n) AS no, regexp_matches(line, '{_PLACES}') AS place, regexp_matches(line, '{_OTHERS}') AS other FROM lined WHERE line <> ''),
+      begun AS (SELECT k, min(no) AS at_no FROM kept WHERE place AND NOT other AND no <= 120 GROUP BY k),
+      near AS (SELECT kept.*, at_no, max(other) OVER (PARTITION BY kept.k ORDER BY no) AS stopped FROM kept JOIN begun ON kept.k = begun.k WHERE no BETWEEN at_no AND least(at_no + 2, 120)),
+      whole AS (SELECT k, string_agg({_CLEAN.format("line")}, ', ' ORDER BY no) AS w FROM near WHERE no = at_no OR (NOT stopped AND (place OR regexp_matches(line, '\\b[0-9]{{4,6}}\\b'))) GROUP BY k)
+      SELECT DISTINCT attachment_key, coalesce(substr(regexp_replace(w, '[ ,;]+[b-z][ )]\\p{{Lu}}.*$', ''), 1, 300), '') AS affiliation FROM first LEFT JOIN whole ON whole.k = first.k""",
     "packet_records": f"""WITH {_LATEST} SELECT DISTINCT card_id, zotero_item_key AS item_key, CASE WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'empty' ELSE 'ok' END AS cache_status, CAST(coalesce(n, 0) AS INTEGER) AS n_chars
       FROM first_author_affiliations LEFT JOIN (SELECT item_key, max(n_chars) AS n FROM texts GROUP BY item_key) x ON x.item_key = zotero_item_key WHERE {_known("zotero_item_key")}""",
     "text_sizes_with_fallback": f"""WITH {_LATEST} SELECT t.item_key, t.attachment_key, CAST(coalesce(CASE WHEN t.status = 'ok' AND t.method = 'pypdf' THEN t.n_chars END, x.n) AS INTEGER) AS n_chars

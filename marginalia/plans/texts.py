@@ -49,7 +49,7 @@ def extraction_status(spark: SparkSession, base: str) -> DataFrame:
 def document_sections(spark: SparkSession, base: str) -> DataFrame:
     """Markdown documents by heading."""
     rows = read_table(spark, base, "documents").where(F.col("text").rlike(r"(?m)^#{1,6}\s")).select("doc_id", "text")
-    return rows.select("doc_id", F.explode(paragraphs.section_map("text")).alias("heading", "body"))
+    return rows.select("doc_id", F.explode(paragraphs.section_list("text")).alias("s")).select("doc_id", "s.heading", "s.body")
 
 
 def reflowed_texts(spark: SparkSession, base: str) -> DataFrame:
@@ -70,7 +70,35 @@ QUERIES = {
 _OK = "ok AS (SELECT DISTINCT attachment_key, replace(replace(text, e'\\r\\n', e'\\n'), e'\\r', e'\\n') AS text FROM pdf_extraction WHERE status = 'ok')"
 _COMPACT = "trim(regexp_replace(regexp_replace({0}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', e'\\n\\n', 'g'), e' \\t\\n\\r')"
 
+# lines as rows, and windows over them, where the queries have patterns over whole texts
+_LINED = "lined AS (SELECT {0} AS k, unnest(string_split({1}, e'\\n')) AS line, generate_subscripts(string_split({1}, e'\\n'), 1) AS no FROM {2})"
+
 ORACLES = {
+    "document_sections": "WITH "
+    + _LINED.format("doc_id", "text", "documents")
+    + r""", headed AS (SELECT *, regexp_extract(line, '^#{1,6}[ \t]+(\S.*?)[ \t]*$', 1) AS title, count(CASE WHEN regexp_matches(line, '^#{1,6}[ \t]+\S') THEN 1 END) OVER (PARTITION BY k ORDER BY no) AS part FROM lined),
+      named AS (SELECT *, trim(regexp_replace(regexp_replace(first_value(title) OVER (PARTITION BY k, part ORDER BY no), '^[^\p{L}\p{N}]+', ''), '^[0-9]+(?:\.[0-9]+)*\.?\s+', '')) AS heading,
+          no = first_value(no) OVER (PARTITION BY k, part ORDER BY no) AS first FROM headed WHERE part > 0)
+      SELECT k AS doc_id, heading, coalesce(string_agg(trim(line, e' \t\r\n'), ' ' ORDER BY no) FILTER (NOT first AND trim(line, e' \t\r\n') NOT IN ('', '?')), '') AS body FROM named WHERE heading <> '' GROUP BY k, heading""",
+    "reflowed_texts": "WITH ok AS (SELECT DISTINCT attachment_key, text FROM pdf_extraction WHERE status = 'ok'), "
+    + _LINED.format("attachment_key || md5(text)", "text", "ok")
+    + r""", clean AS (SELECT k, no, regexp_replace(trim(line, e' \t\r\f'), '\s+', ' ', 'g') AS line FROM lined),
+      sorted AS (SELECT *, CASE WHEN line = '' THEN 0 WHEN regexp_full_match(line, '(?i)=+ ?page [0-9]+\b[^=]*=+|[-*+•] .*|\(?[0-9]+[.)] .*|[a-z][.)] .*') THEN 1 ELSE 2 END AS kind FROM clean),
+      beside AS (SELECT *, lag(kind) OVER w AS before, lead(line) OVER w AS next, lead(kind) OVER w AS next_kind FROM sorted WINDOW w AS (PARTITION BY k ORDER BY no)),
+      placed AS (SELECT *, count(CASE WHEN kind = 1 OR (kind = 2 AND before IS DISTINCT FROM 2) THEN 1 END) OVER (PARTITION BY k ORDER BY no) AS block FROM beside WHERE kind > 0),
+      joined AS (SELECT k, block, string_agg(CASE
+          WHEN kind = 1 OR next_kind IS DISTINCT FROM 2 THEN line
+          WHEN line LIKE '%-' AND regexp_matches(next, '^[a-z]') THEN line[:-2]
+          WHEN regexp_matches(line, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]$') AND regexp_matches(next, '^[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]') THEN line
+          WHEN contains(',.;:!?)]}%，。；：！？、）】》', next[1]) OR contains('([{《【', line[-1]) THEN line
+          ELSE line || ' ' END, '' ORDER BY no) AS block_text FROM placed GROUP BY k, block)
+      SELECT attachment_key, coalesce(string_agg(block_text, e'\n\n' ORDER BY block) || e'\n', '') AS text FROM ok LEFT JOIN joined ON k = attachment_key || md5(text) GROUP BY attachment_key, ok.text""",
+    "first_pages": r"""WITH ok AS (SELECT DISTINCT attachment_key, text FROM pdf_extraction WHERE status = 'ok'), """
+    + _LINED.format("attachment_key || md5(text)", "text", "ok")
+    + r""", paged AS (SELECT *, count(CASE WHEN regexp_matches(line, '^===== Page [0-9]+ =====[ \t]*$') THEN 1 END) OVER (PARTITION BY k ORDER BY no) AS part FROM lined),
+      parts AS (SELECT k, part, trim(string_agg(line, e'\n' ORDER BY no), e' \t\n\r') AS page FROM paged WHERE part > 0 GROUP BY k, part),
+      marked AS (SELECT k, string_agg(page, e'\n\n' ORDER BY part) FILTER (CAST(regexp_extract(page, '[0-9]+') AS INTEGER) <= 2) AS kept FROM parts GROUP BY k)
+      SELECT attachment_key, md5(c) AS digest, CAST(length(c) AS INTEGER) AS n_chars FROM (SELECT attachment_key, CASE WHEN m.k IS NULL THEN text ELSE coalesce(kept, '') END AS c FROM ok LEFT JOIN marked m ON m.k = attachment_key || md5(text))""",
     "text_normalize": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_before, CAST(length(c) AS INTEGER) AS n_after, md5(c) AS digest FROM (SELECT doc_id, text, "
     + _COMPACT.format("replace(replace(text, e'\\r\\n', e'\\n'), e'\\r', e'\\n')")
     + " AS c FROM documents)",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import paragraphs, scalars as S
+from marginalia.functions.affiliations import Rules, affiliation_of
 from marginalia.operators import aggregate, merge, paths, rules, search, sets
 from marginalia.sources import files, sinks
 from marginalia.sources.paged import PagedSource
@@ -78,6 +79,36 @@ def test_paragraphs(spark):
     assert one(spark, paragraphs.repair_encoding("x"), x="热舒适".encode().decode("gbk", "ignore")) in ("热舒适", "热舒适".encode().decode("gbk", "ignore"))
 
 
+def test_sections_merge_and_drop(spark):
+    text = "before\n## 2.1 方法\n- a\n\n### \u2728 方法\nb\n# 12\nlost? no\n<h3 id='x'><b>Last</b></h3>\n?"
+    assert one(spark, paragraphs.section_map("x"), x=text) == {"方法": "- a b", "12": "lost? no", "Last": ""}
+    for cell in (None, "", "no heading", "\u0001\u0002"):
+        assert one(spark, paragraphs.section_map("x"), x=cell) == {}
+    assert one(spark, paragraphs.reflow_text("x"), x="\u0001a\u0002\r\nb") == "a b\n"
+    assert one(spark, paragraphs.reflow_text("x"), x="(1) one\nb) two\nthree\n热\n舒\n适") == "(1) one\n\nb) two\n\nthree 热舒适\n"
+
+
+AFFILIATIONS = [
+    ("Title of a text\nAnn Lee, Bo Ek\na Department of Heat, Lakeside University, Tan 1\n100084 Lake, China b School of Air, Other\nAbstract\nA university", "Department of Heat, Lakeside University, Tan 1, 100084 Lake, China"),
+    ("received 1999, University\n¹ 湖畔大学建筑系，\n摘要 研究所", "湖畔大学建筑系，"),
+    ("Institutes\nSchoolhouse", ""),
+    ("x\n" * 130 + "University", ""),
+    ("Institute " + "y" * 400, "Institute " + "y" * 290),
+    (None, ""),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("text, expected", AFFILIATIONS)
+def test_first_affiliation(spark, text, expected):
+    assert one(spark, affiliation_of("x"), x=text) == expected
+
+
+def test_affiliation_rules_are_the_callers(spark):
+    rules = Rules(places=("werft",), others=(), follow=0)
+    assert one(spark, affiliation_of("x", rules), x="University\n1) Werft Nord,\nWerft Süd") == "Werft Nord"
+
+
 def test_sets(spark):
     row = spark.range(1).select(F.array(*map(F.lit, "abab")).alias("a"), F.array(*map(F.lit, "bc")).alias("b"))
     got = row.select(sets.union_keep_order(F.col("a"), F.col("b")), sets.append_missing(F.col("a"), F.col("b")), sets.remove(F.col("a"), F.col("b")), sets.missing(F.col("b"), F.col("a"))).first()
