@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.functions.sql import sql as named_sql
 from marginalia.functions.text import is_known, journal_key, trim_ws
+from marginalia.llm.scripts import simplifying
 from marginalia.session import cut_lineage
 
 UNMATCHED = "unmatched"
@@ -25,15 +26,11 @@ UNMATCHED = "unmatched"
 #: Words that carry no meaning in a title.
 STOP = "'of','in','on','and','the','for'"
 
-#: Traditional characters and their simplified forms, place by place.
-TRADITIONAL = "東嵐蘭嶺華瀾麓陸陵雲隴嶼畔圍護結構進學報雜誌匯彙刊氣築節緑綠環環內風淨凈輻熱術儲供程築質聯調濕溫測"
-SIMPLIFIED = "东岚兰岭华澜麓陆陵云陇屿畔围护结构进学报杂志汇汇刊气筑节绿绿环环内风净净辐热术储供程筑质联调湿温测"
-
 HAN = r"\p{IsHan}"
 
 
 def sql(spark: SparkSession, text: str, **names) -> DataFrame:
-    return named_sql(spark, text, STOP=STOP, HAN=HAN, TRADITIONAL=TRADITIONAL, SIMPLIFIED=SIMPLIFIED, **names)
+    return named_sql(spark, text, STOP=STOP, HAN=HAN, **names)
 
 
 def _aliases(listed: DataFrame, rankings: DataFrame) -> DataFrame:
@@ -136,6 +133,7 @@ def _aliases(listed: DataFrame, rankings: DataFrame) -> DataFrame:
 
 def _typed(values: DataFrame) -> DataFrame:
     """(raw, typed, words): raw values without decoration, one row for each reading of a value."""
+    traditional, simplified = simplifying(values.sparkSession)
     return sql(
         values.sparkSession,
         r"""
@@ -156,9 +154,11 @@ def _typed(values: DataFrame) -> DataFrame:
               '([,;.]? *issn[ :]*[0-9x-]+| *[(（][^()（）]*[)）]|[, ]+(vol|no|issue)[. ]*[0-9].*| +[0-9]+ *([(][0-9-]+[)])?([ :,].*)?)$', '')) AS part
             FROM (
               SELECT raw, explode(array_distinct(array(clean, regexp_replace(clean, ' +[:：=/|] .*$', ''), regexp_replace(clean, '^.* [:：=/|] +', '')))) AS part
-              FROM (SELECT raw, translate(lower(replace(replace(trim(raw), '&amp;', '&'), '　', ' ')), '{TRADITIONAL}', '{SIMPLIFIED}') AS clean FROM {v})))))
+              FROM (SELECT raw, translate(lower(replace(replace(trim(raw), '&amp;', '&'), '　', ' ')), '{traditional}', '{simplified}') AS clean FROM {v})))))
         WHERE size(words) > 0""",
         v=values,
+        traditional=traditional,
+        simplified=simplified,
     ).distinct()
 
 

@@ -27,6 +27,11 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return variants.name_variants(read_table(spark, base, "first_author_affiliations"), read_table(spark, base, "library_items"))
 
 
+def p2_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Every spelling with the class it belongs to: one row for each, where p2_found has one for each pair."""
+    return variants.name_classes(read_table(spark, base, "first_author_affiliations"), read_table(spark, base, "library_items"))
+
+
 P4_KINDS = {"tag": "tags_json", "collection": "collections_json"}
 
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p6_found": p6_found,

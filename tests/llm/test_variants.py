@@ -99,3 +99,58 @@ def test_blocking_keeps_every_near_pair(spark):
     assert all(near(a, b) for a, b in found)
     missed = one_edit - found
     assert len(missed) <= 0.02 * len(one_edit), sorted(missed)[:5]
+
+
+def test_hot_suffixes_lose_no_near_pair(spark):
+    """A third of all stems share a suffix; blocks are refined twice, and pairs of them are found all the same."""
+    rng = random.Random(9)
+    heads = {"".join(rng.choices("abdegiklmoprstuv", k=rng.randint(5, 7))) for _ in range(250)}
+    stems = {h + "samesuffix" for h in heads} | {"".join(rng.choices("abdegiklmoprstuv", k=12)) for _ in range(300)}
+    for s in sorted(stems):
+        k = rng.randrange(7)
+        stems.add(s[:k] + rng.choice("xyz") + s[k + rng.randint(0, 1) :])
+    near = lambda a, b: 2 * brute_lcs(a, b) / (len(a) + len(b)) >= 0.9
+    edits = lambda a, b: len(a) + len(b) - 2 * brute_lcs(a, b)
+    ordered = sorted(stems)
+    wanted = {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if abs(len(a) - len(b)) <= 1 and (a[-6:] == b[-6:] or a[:4] == b[:4]) and near(a, b) and edits(a, b) <= 2}
+    found = {(r.a, r.b) for r in variants.near_stems(spark.createDataFrame([(s, "f") for s in ordered], "stem string, field string"), least=0.9, common=5).collect()}
+    assert all(near(a, b) for a, b in found)
+    assert len(wanted) > 300 and len(wanted - found) <= 0.02 * len(wanted), (len(wanted), sorted(wanted - found)[:5])
+
+
+def test_lengths_are_bounded_by_the_ratio_alone(spark):
+    a = "abcdefghijklmnopqrstuvwxyzabcdefgh"
+    found = variants.near_stems(spark.createDataFrame([(a, "f"), (a + "1234", "f"), (a + "123456789012", "f")], "stem string, field string")).collect()
+    assert {(r.a, r.b) for r in found} == {(a, a + "1234"), (a + "1234", a + "123456789012")}
+
+
+def test_families_by_their_fields(spark):
+    given = ["Anna", "Boris", "Celia", *("".join(random.Random(k).choices("bdfgklmn", k=7)).title() for k in range(200))]
+    for n in (3, 203):
+        rows = [(f"{g} {f}", g, f) for g in given[:n] for f in ("Lindstroem", "Lind")]
+        found = variants.parse_people(spark.createDataFrame(rows + [("Lind Boris", "Lind", "Boris")], "spelling string, first string, last string")).collect()
+        assert {r.family for r in found} == {"lindstroem", "lind"}, n
+
+
+def test_names_in_han_script(spark):
+    people = [{"name": "李明"}, {"name": "李 明"}, person("明", "李"), {"name": "陳和"}, {"name": "陈和"}, {"name": "陈合"}, {"name": "李明月"}]
+    items = spark.createDataFrame([("1", json.dumps(people, ensure_ascii=False), "", "")], ITEMS)
+    found = variants.people_variants(items).collect()
+    assert {frozenset((r.name_a, r.name_b)) for r in found} == {frozenset(x) for x in (("李明", "李 明"), ("李明", "明 李"), ("李 明", "明 李"), ("陳和", "陈和"))}
+
+
+def test_organisations_of_other_kinds(spark):
+    names = ["St Olga Hospital, Ward 3", "Department of Heat, St. Olga Hosp.", "Olgawerk Company", "OLGAWERK CO", "Zentralwerft, Kiel", "zentralwerft", "Zentralwerfd", "Ulm University", "University of Ulm", "湖畔医院", "湖畔医院 (Lakeside Hospital)", "Lakeside Hospital"]
+    cards = spark.createDataFrame([(str(k), n, None, "", "", "") for k, n in enumerate(names)], CARDS)
+    linked = {frozenset((r.name_a, r.name_b)) for r in variants.organisation_variants(cards).collect()}
+    assert linked >= {frozenset(x) for x in (names[0:2], names[2:4], names[4:6], names[5:7], names[7:9], names[9:11], names[10:12], (names[9], names[11]))}
+    assert frozenset((names[0], names[2])) not in linked and frozenset((names[0], names[11])) not in linked
+
+
+def test_classes_say_the_same_as_pairs(spark):
+    people = [person("Robert", "Betubohafu"), person("Bob", "Betubohafu"), person("Victoria", "Betubohafu")]
+    items = spark.createDataFrame([("1", json.dumps(people), "", "")] * 3, ITEMS)
+    cards = spark.createDataFrame([], CARDS)
+    classes = variants.name_classes(cards, items).collect()
+    assert {(r.spelling, r.entity, r.n_spellings) for r in classes} == {("Robert Betubohafu", "Bob Betubohafu", 2), ("Bob Betubohafu", "Bob Betubohafu", 2), ("Victoria Betubohafu", "Victoria Betubohafu", 1)}
+    assert [(r.name_a, r.name_b) for r in variants.name_variants(cards, items).collect()] == [("Bob Betubohafu", "Robert Betubohafu")]
