@@ -187,3 +187,38 @@ def test_pairs_against_brute_force(spark):
     assert {(r.left_value, r.right_value): (r.n_both, r.n_left, r.n_right, r.n_all) for r in found} == expected
     assert all(math.isclose(r.pmi, math.log2(r.lift)) for r in found)
     assert cooccurrence.pair_counts(spark.createDataFrame([], schema), "item_key", {"tag": "tags_json"}).count() == 0
+
+
+def test_figures_and_joins_are_learnt():
+    lexicon = {w: 50 for w in ("consecutive", "perature", "tracer-gas", "tracer", "gas", "low-temperature", "low", "temperature", "ventilated", "ceiling", "mounted", "floor", "phase-change", "phase", "change")}
+    editor = ocr.Editor(ocr.Perceptron(), {}, lexicon, ocr.train_joins(lexicon), ocr.train_figures())
+    for wrong, right in (("3l.9l", "31.91"), ("S1.3", "51.3"), ("B2.9", "82.9"), ("l2.O", "12.0"), ("12.5", None), ("SO.l", None)):
+        assert editor.figure(wrong) == right
+    for head, tail, right in (("con-", "secutive", "consecutive"), ("tracer-", "gas", "tracer-gas"), ("Low-", "temperature", "Low-temperature"), ("ceiling-", "mounted", "ceiling-mounted"), ("venti-", "lated", "ventilated")):
+        assert ocr.join_word(head, tail, editor) == right
+
+
+def test_the_tail_of_the_lexicon_is_known_too(spark, monkeypatch):
+    """With room for a few words only, words beyond them aren't repaired into others, and the rest still is."""
+    frequent = " ".join(["window pattern signal"] * 400)
+    rare = " ".join(["siqnal"] * 3 + ["windovv"] * 2)
+    learnt = " ".join(f"{w} {w}" for w in ("qattern", "patfern", "sifnal", "vvindow"))
+    rows = [("a", "ok", f"{frequent} {rare} {learnt}", 0, "")]
+    monkeypatch.setattr(ocr, "LEXICON", 3)
+    monkeypatch.setattr(ocr, "RATIO", 1_000)
+    model = ocr.Model(ocr.page_texts(spark.createDataFrame(rows, P)))
+    assert set(model.lexicon) == {"window", "pattern", "signal"}
+    assert {r.word for r in model.tail.collect()} == {"siqnal"}
+    editor = ocr.Editor(*model.parts())
+    assert editor.may_be_known("siqnal")
+
+
+def test_rare_kinds_of_misreading_are_found(spark):
+    """Two letters read for one, in the few words where they occur, are repaired however many other misreadings there are."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choices("abeghkopstuvwz", k=8)) for _ in range(60)]
+    body = " ".join(plain * 600) + " " + " ".join(["alternative returned nocturnal"] * 600)
+    noise = " ".join({w[:k] + "x" + w[k + 1 :] for w in plain for k in range(1, 8)}) + " altemative retumed " * 4
+    rows = [("a", "ok", body, 0, ""), ("b", "ok", f"some {noise} text", 0, "")]
+    fixed = [r.fixed for r in ocr.repair_cases(spark.createDataFrame(rows, P)).where("kind = 'misread' AND attachment_key = 'b'").collect()]
+    assert {"alternative", "returned"} <= set(fixed)
