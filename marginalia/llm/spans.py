@@ -8,8 +8,10 @@ therefore hashed only at cover positions, and every long match shares at least o
 A shared anchor is then extended: the windows of full length around it are hashed at every position
 with two independent 64-bit hashes, and a position is shared if the same window occurs in another
 record. Counting per hash instead of comparing pairs keeps the work linear in the text, however many
-records hold a passage. Records with equal texts are one class: they are shared as a whole, and one of
-them stands for the class.
+records hold a passage. Hashes are made and shuffled once. What a batch of records shares within itself is
+settled in the batch: one row of it goes to the hash's group, the others are spread over all tasks, so a
+passage that a third of all records hold makes no group larger than the number of batches. Records with
+equal texts are one class: they are shared as a whole, and one of them stands for the class.
 
 Defined results: null texts and texts shorter than ``length`` share nothing; an empty table gives no
 rows; repeated ids keep their own rows only if their texts differ; further columns are ignored; texts
@@ -67,6 +69,28 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _settled(hashes: np.ndarray, docs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(sure, lone) by row: is the hash shared within these rows (by two documents, where they count), and is the row the one that goes to its group?"""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    first = np.empty(len(ranked), bool)
+    if len(ranked):
+        first[0] = True
+        np.not_equal(ranked[1:], ranked[:-1], out=first[1:])
+    begins = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    if docs is None:
+        shared = np.diff(np.append(begins, len(ranked))) > 1
+    else:
+        own = docs[order]
+        shared = np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins) if len(begins) else np.zeros(0, bool)
+    sure, lone = np.empty(len(ranked), bool), np.empty(len(ranked), bool)
+    sure[order] = shared[group]
+    # where a hash isn't shared within the rows, every one of them goes to the group
+    lone[order] = first | ~shared[group]
+    return sure, lone
+
+
 def _anchors(length: int, q: int) -> Callable:
     period, cover = difference_cover(q)
     width = length - period + 1
@@ -83,8 +107,10 @@ def _anchors(length: int, q: int) -> Callable:
                 wanted = is_cover[place % period] & (place + width <= np.repeat(sizes, sizes))
                 starts = np.flatnonzero(wanted)
                 hashes = window_hashes(codes("".join(texts[a:b])), starts, width)
+                sure, lone = _settled(hashes, None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), pa.array(np.repeat(ids[a:b], sizes)[starts]), pa.array(place[starts].astype(np.int32))], names=["hash", "doc", "place"]
+                    [pa.array(hashes), pa.array(np.repeat(ids[a:b], sizes)[starts]), pa.array(place[starts].astype(np.int32)), pa.array(sure), pa.array(lone)],
+                    names=["hash", "doc", "place", "sure", "lone"],
                 )
 
     return run
@@ -110,14 +136,13 @@ def _windows(length: int, q: int) -> Callable:
                 starts = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
                 spread = codes("".join(texts[a:b]))
                 owner = np.repeat(np.arange(b - a), sizes)[starts]
+                docs = ids[a:b][owner]
+                hashes, checks = window_hashes(spread, starts, length, 0), window_hashes(spread, starts, length, 1)
+                # within a batch both hashes must agree: their mixture stands for the pair
+                sure, lone = _settled(hashes ^ (checks * np.int64(-0x61C8864680B583EB)), docs)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(window_hashes(spread, starts, length, 0)),
-                        pa.array(window_hashes(spread, starts, length, 1)),
-                        pa.array(ids[a:b][owner]),
-                        pa.array((starts - begins[:-1][owner]).astype(np.int32)),
-                    ],
-                    names=["hash", "check", "doc", "place"],
+                    [pa.array(hashes), pa.array(checks), pa.array(docs), pa.array((starts - begins[:-1][owner]).astype(np.int32)), pa.array(sure), pa.array(lone)],
+                    names=["hash", "check", "doc", "place", "sure", "lone"],
                 )
 
     return run
@@ -126,34 +151,36 @@ def _windows(length: int, q: int) -> Callable:
 def shared_spans(documents: DataFrame, length: int = 240, q: int = 11) -> DataFrame:
     """(doc_id, span_start, span_end): the maximal runs of shared characters of ``documents(doc_id, text)``."""
     spark = documents.sparkSession
-    texts = documents.selectExpr("doc_id AS doc", "text").where(F.length("text") >= length)
-    members = cut_lineage(texts.select("doc", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("size")))
-    groups = members.groupBy("digest").agg(F.min("doc").alias("rep"), (F.min("doc") < F.max("doc")).alias("many"))
-    kept = texts.join(groups.select(F.col("rep").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
-    anchors = kept.mapInArrow(_anchors(length, q), "hash long, doc long, place int")
+    texts = documents.selectExpr("doc_id AS doc", "text").where(F.length("text") >= length).withColumn("digest", F.unhex(F.md5("text")))
+    members = cut_lineage(texts.select("doc", "digest", F.length("text").alias("size")).distinct())
+    groups = cut_lineage(members.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    copies = cut_lineage(sql(spark, "SELECT doc, digest FROM {members} JOIN {groups} USING (digest) WHERE doc <> rep", members=members, groups=groups))
+    kept = texts.join(copies, ["doc", "digest"], "left_anti").select("doc", "text")
+    anchors = kept.mapInArrow(_anchors(length, q), "hash long, doc long, place int, sure boolean, lone boolean")
+    # one shuffle: a row that is settled already goes anywhere, by a key of its own
     places = sql(
         spark,
         """
-        SELECT /*+ SHUFFLE_HASH(s) */ doc, collect_list(place) AS places
-        FROM {anchors} JOIN (SELECT hash FROM {anchors} GROUP BY hash HAVING count(*) > 1) s USING (hash)
-        GROUP BY doc""",
+        SELECT doc, collect_list(place) AS places FROM (
+          SELECT doc, place, sure, count(*) OVER (PARTITION BY IF(lone, hash, xxhash64(doc, place, hash))) AS n FROM {anchors})
+        WHERE sure OR n > 1 GROUP BY doc""",
         anchors=anchors,
     )
     # a document with an equal one is shared as a whole, but its windows still count for others
-    windows = kept.join(cut_lineage(places).hint("shuffle_hash"), "doc").mapInArrow(_windows(length, q), "hash long, check long, doc long, place int")
+    windows = kept.join(cut_lineage(places).hint("shuffle_hash"), "doc").mapInArrow(_windows(length, q), "hash long, check long, doc long, place int, sure boolean, lone boolean")
     return sql(
         spark,
         """
-        WITH found AS (
-          SELECT /*+ SHUFFLE_HASH(s) */ doc, place FROM {windows}
-          JOIN (SELECT hash, check FROM {windows} GROUP BY hash, check HAVING min(doc) <> max(doc)) s USING (hash, check)),
+        WITH counted AS (
+          SELECT doc, place, sure, max(sure) OVER w AS any_sure, min(doc) OVER w AS low, max(doc) OVER w AS high FROM {windows}
+          WINDOW w AS (PARTITION BY IF(lone, hash, xxhash64(doc, place, hash)), check)),
         runs AS (
           SELECT doc, place, sum(opens) OVER (PARTITION BY doc ORDER BY place) AS run FROM (
-            SELECT doc, place, IF(place <= lag(place) OVER (PARTITION BY doc ORDER BY place) + {length}, 0, 1) AS opens FROM found))
+            SELECT doc, place, IF(place <= lag(place) OVER (PARTITION BY doc ORDER BY place) + {length}, 0, 1) AS opens FROM counted WHERE any_sure OR low <> high))
         SELECT doc AS doc_id, min(place) AS span_start, max(place) + {length} AS span_end
-        FROM runs LEFT ANTI JOIN (SELECT rep FROM {groups} WHERE many) ON doc = rep GROUP BY doc, run
+        FROM runs LEFT ANTI JOIN {groups} ON doc = rep GROUP BY doc, run
         UNION ALL
-        SELECT DISTINCT doc, 0, size FROM {members} JOIN (SELECT digest FROM {groups} WHERE many) USING (digest)""",
+        SELECT DISTINCT doc, 0, size FROM {members} JOIN {groups} USING (digest)""",
         windows=windows,
         groups=groups,
         members=members,
