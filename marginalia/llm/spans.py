@@ -91,6 +91,21 @@ def _settled(hashes: np.ndarray, docs: np.ndarray | None) -> tuple[np.ndarray, n
     return sure, lone
 
 
+def _routed(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, checks: np.ndarray | None = None) -> pa.RecordBatch:
+    """(key, doc, place) by row, with second hashes also check: the hash is the key of rows that go to its group.
+
+    A settled row has its document and place for a key, which any other row hardly has, no check, and a place
+    below zero, -1 - place. Keys come from the row alone, so a task that is run again sends its rows the same way.
+    """
+    # within a batch both hashes must agree: their mixture stands for the pair
+    sure, lone = _settled(hashes, None) if checks is None else _settled(hashes ^ (checks * np.int64(-0x61C8864680B583EB)), docs)
+    own = (docs.astype(np.int64) << np.int64(24)) ^ places
+    columns = {"key": np.where(lone, hashes, own), "doc": docs, "place": np.where(sure, -1 - places, places).astype(np.int32)}
+    if checks is not None:
+        columns["check"] = np.where(lone, checks, 0)
+    return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in columns.items()})
+
+
 def _anchors(length: int, q: int) -> Callable:
     period, cover = difference_cover(q)
     width = length - period + 1
@@ -107,11 +122,7 @@ def _anchors(length: int, q: int) -> Callable:
                 wanted = is_cover[place % period] & (place + width <= np.repeat(sizes, sizes))
                 starts = np.flatnonzero(wanted)
                 hashes = window_hashes(codes("".join(texts[a:b])), starts, width)
-                sure, lone = _settled(hashes, None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), pa.array(np.repeat(ids[a:b], sizes)[starts]), pa.array(place[starts].astype(np.int32)), pa.array(sure), pa.array(lone)],
-                    names=["hash", "doc", "place", "sure", "lone"],
-                )
+                yield _routed(hashes, np.repeat(ids[a:b], sizes)[starts], place[starts])
 
     return run
 
@@ -139,11 +150,7 @@ def _windows(length: int, q: int) -> Callable:
                 docs = ids[a:b][owner]
                 hashes, checks = window_hashes(spread, starts, length, 0), window_hashes(spread, starts, length, 1)
                 # within a batch both hashes must agree: their mixture stands for the pair
-                sure, lone = _settled(hashes ^ (checks * np.int64(-0x61C8864680B583EB)), docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), pa.array(checks), pa.array(docs), pa.array((starts - begins[:-1][owner]).astype(np.int32)), pa.array(sure), pa.array(lone)],
-                    names=["hash", "check", "doc", "place", "sure", "lone"],
-                )
+                yield _routed(hashes, docs, starts - begins[:-1][owner], checks)
 
     return run
 
@@ -156,27 +163,26 @@ def shared_spans(documents: DataFrame, length: int = 240, q: int = 11) -> DataFr
     groups = cut_lineage(members.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     copies = cut_lineage(sql(spark, "SELECT doc, digest FROM {members} JOIN {groups} USING (digest) WHERE doc <> rep", members=members, groups=groups))
     kept = texts.join(copies, ["doc", "digest"], "left_anti").select("doc", "text")
-    anchors = kept.mapInArrow(_anchors(length, q), "hash long, doc long, place int, sure boolean, lone boolean")
+    anchors = kept.mapInArrow(_anchors(length, q), "key long, doc long, place int")
     # one shuffle: a row that is settled already goes anywhere, by a key of its own
     places = sql(
         spark,
         """
-        SELECT doc, collect_list(place) AS places FROM (
-          SELECT doc, place, sure, count(*) OVER (PARTITION BY IF(lone, hash, xxhash64(doc, place, hash))) AS n FROM {anchors})
-        WHERE sure OR n > 1 GROUP BY doc""",
+        SELECT doc, collect_list(IF(place < 0, -1 - place, place)) AS places FROM (SELECT doc, place, count(*) OVER (PARTITION BY key) AS n FROM {anchors})
+        WHERE place < 0 OR n > 1 GROUP BY doc""",
         anchors=anchors,
     )
     # a document with an equal one is shared as a whole, but its windows still count for others
-    windows = kept.join(cut_lineage(places).hint("shuffle_hash"), "doc").mapInArrow(_windows(length, q), "hash long, check long, doc long, place int, sure boolean, lone boolean")
+    windows = kept.join(cut_lineage(places).hint("shuffle_hash"), "doc").mapInArrow(_windows(length, q), "key long, doc long, place int, check long")
     return sql(
         spark,
         """
         WITH counted AS (
-          SELECT doc, place, sure, max(sure) OVER w AS any_sure, min(doc) OVER w AS low, max(doc) OVER w AS high FROM {windows}
-          WINDOW w AS (PARTITION BY IF(lone, hash, xxhash64(doc, place, hash)), check)),
+          SELECT doc, IF(place < 0, -1 - place, place) AS place, min(place) OVER w < 0 AS settled, min(doc) OVER w AS low, max(doc) OVER w AS high FROM {windows}
+          WINDOW w AS (PARTITION BY key, check)),
         runs AS (
           SELECT doc, place, sum(opens) OVER (PARTITION BY doc ORDER BY place) AS run FROM (
-            SELECT doc, place, IF(place <= lag(place) OVER (PARTITION BY doc ORDER BY place) + {length}, 0, 1) AS opens FROM counted WHERE any_sure OR low <> high))
+            SELECT doc, place, IF(place <= lag(place) OVER (PARTITION BY doc ORDER BY place) + {length}, 0, 1) AS opens FROM counted WHERE settled OR low <> high))
         SELECT doc AS doc_id, min(place) AS span_start, max(place) + {length} AS span_end
         FROM runs LEFT ANTI JOIN {groups} ON doc = rep GROUP BY doc, run
         UNION ALL
