@@ -179,6 +179,8 @@ def pigeonhole_pairs(aliases: DataFrame, typed: DataFrame) -> DataFrame:
         FROM (SELECT alias, n, k, explode(sequence(0, k)) AS i FROM {s})""",
         s=sized,
     )
+    # values are few next to their probes, so they are spread before those are made
+    spread = typed.select("typed").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the substrings of a typed string that a segment may have become, by the lengths that occur in the list
     probes = sql(
         spark,
@@ -188,10 +190,10 @@ def pigeonhole_pairs(aliases: DataFrame, typed: DataFrame) -> DataFrame:
           SELECT typed, n, k, i, explode(sequence(greatest(1, 1 + (i * n) div (k + 1) + greatest(-i, m - n - (k - i))),
                                                   1 + (i * n) div (k + 1) + least(i, m - n + (k - i)))) AS p
           FROM (SELECT typed, m, n, k, explode(sequence(0, k)) AS i
-                FROM (SELECT typed, m, explode(sequence(m - 4, m + 4)) AS n FROM (SELECT DISTINCT typed, length(typed) AS m FROM {t}))
+                FROM (SELECT typed, m, explode(sequence(m - 4, m + 4)) AS n FROM (SELECT typed, length(typed) AS m FROM {t}))
                 JOIN (SELECT DISTINCT n, k FROM {s}) USING (n) WHERE abs(m - n) <= k)
           WHERE greatest(1, 1 + (i * n) div (k + 1) + greatest(-i, m - n - (k - i))) <= 1 + (i * n) div (k + 1) + least(i, m - n + (k - i)))""",
-        t=typed,
+        t=spread,
         s=sized,
     )
     return sql(

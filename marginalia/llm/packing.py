@@ -27,8 +27,9 @@ from marginalia.session import cut_lineage
 CAPACITY = 2048
 #: A sentencepiece model of the public tokenizers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Tokens in a shard.
+#: Tokens in a shard, and documents, about.
 SHARD = 1 << 20
+SHARD_DOCUMENTS = 1 << 16
 
 
 @functools.cache
@@ -178,7 +179,9 @@ def token_counts(documents: DataFrame, model: str = MODEL) -> DataFrame:
 def pack(documents: DataFrame, capacity: int = CAPACITY, model: str = MODEL, shard_tokens: int = SHARD) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, container) of every document or piece of one."""
     counts = cut_lineage(token_counts(documents, model))
-    total = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    shards = max(1, round(total / shard_tokens))
+    total, n = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    shards = max(1, round(total / shard_tokens), -(-n // SHARD_DOCUMENTS))
     placed = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return placed.groupBy("shard").applyInPandas(_pack(capacity), "doc_id long, piece int, token_start long, n_tokens long, container string")
+    # a number of partitions that is asked for isn't coalesced: shards are small, but each takes a while
+    spread = placed.repartition(min(shards, max(64, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard")
+    return spread.groupBy("shard").applyInPandas(_pack(capacity), "doc_id long, piece int, token_start long, n_tokens long, container string")
