@@ -17,6 +17,11 @@ def text_of(x: ColumnOrName) -> Column:
     return F.coalesce(as_col(x).cast("string"), F.lit(""))
 
 
+def clean_text(x: ColumnOrName) -> Column:
+    """Text with a sign for whatever is no valid character: bytes that are no UTF-8, and halves of surrogate pairs that bytes may spell."""
+    return F.make_valid_utf8(text_of(x))
+
+
 def split_list(x: ColumnOrName, separators: str = ";", lower: bool = False) -> Column:
     """Trimmed non-empty parts in order, repeats kept; an unknown cell has none."""
     source = F.lower(text_of(x)) if lower else text_of(x)

@@ -11,7 +11,10 @@ from marginalia.session import cut_lineage
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order`` (nulls first, all other columns break ties); an aggregate, so map-side combined."""
+    """The last row of each key by ``order`` (nulls first, all other columns break ties).
+
+    One shuffle by key. Partial maxima are taken before it; as rows hold strings the aggregate sorts.
+    """
     rest = [c for c in rows.columns if c not in keys and c not in order]
     last = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last"))
     return last.select(*keys, *(F.col("_last")[c].alias(c) for c in order + rest)).select(*rows.columns)

@@ -30,7 +30,7 @@ def status_rank(status: Column) -> Column:
 
 
 def best_text(texts: DataFrame) -> DataFrame:
-    """One text per item: the best status, then the longest, then the first key. A map-side combined aggregate, not a sort."""
+    """One text per item: the best status, then the longest, then the first key; partial minima are taken before the shuffle."""
     ranked = F.struct(status_rank(F.col("status")).alias("r"), (-F.col("n_chars")).alias("c"), "attachment_key", "status", "n_chars")
     return texts.groupBy("item_key").agg(F.min(ranked).alias("_b")).select("item_key", "_b.attachment_key", "_b.status", "_b.n_chars")
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import cards, changes, items, library, packets, tags, texts
+from marginalia.plans import cards, changes, items, library, packets, reports, round_trips, tags, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (library, items, tags, changes, cards, texts, packets)
+_MODULES = (library, items, tags, changes, cards, texts, packets, reports, round_trips)
 
 QUERIES: dict[str, Query] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 

@@ -276,6 +276,9 @@ _CORPUS = f"""
 """
 
 ORACLES = {
+    "request_lines": f"""WITH {_LATEST.rstrip().rstrip(",")}
+      SELECT item_key, json_object('custom_id', item_key, 'body', json_object('task', 'classify', 'title', coalesce(title, ''), 'size', length(abstract_note)))::VARCHAR AS line
+      FROM latest WHERE coalesce(zotero_deleted, 0) = 0 AND {_known("abstract_note")}""",
     "items_latest": "WITH " + _LATEST + " SELECT item_key, version, item_type, title, zotero_deleted FROM latest",
     "search_items": _SEARCH,
     "search_first": _SEARCH + " LIMIT 50",

@@ -45,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named or (Path(tempfile.gettempdir()) / "marginalia-lineage").as_uri()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/marginalia-{spark.conf.get('spark.app.id', 'app')}"
+    _delete_at_end(spark, own)
+    return own
+
+
 _tables = itertools.count()
 
 
@@ -56,10 +63,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lie in one folder, which is deleted when its driver ends.
     """
     spark = df.sparkSession
-    own = f"{shared_folder(spark).rstrip('/')}/marginalia-{spark.conf.get('spark.app.id', 'app')}"
-    path = f"{own}/{next(_tables)}-{uuid.uuid4().hex[:8]}"
+    path = f"{own_folder(spark)}/{next(_tables)}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    _delete_at_end(spark, own)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,12 +15,14 @@ from marginalia.functions.scalars import text_of
 from marginalia.functions.text import trim_ws
 
 
-def read_csv(spark: SparkSession, path: str, fields: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, fields: list[str] | None = None, required: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
     """All-string CSV with a header; a byte order mark in front of it doesn't count.
 
+    Cells may hold line breaks; a file is one task then. Without them (``line_breaks=False``) files are split.
+
     ``required`` columns must be there. With ``fields``, other columns are dropped and missing ones are empty.
     """
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    rows = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', inferSchema=False)
     rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
     lacking = sorted(set(required or []) - set(rows.columns))
     if lacking:
@@ -65,6 +67,31 @@ def card_metadata(text: Column, heading: str = "Machine metadata") -> Column:
     return F.map_concat(F.map_filter(bottom, lambda k, v: ~F.map_contains_key(top, k)), top)
 
 
+def metadata_block(fields: Column) -> Column:
+    """A map as ``key: value`` lines in the order of its keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(k, F.lit(": "), text_of(F.element_at(fields, k)))), "\n")
+
+
+def with_metadata(text: Column, fields: Column, place: str = "tail", heading: str = "Machine metadata") -> Column:
+    """A card with its metadata written anew: the front matter or the block under the tail heading; added where there was none."""
+    body, block = text_of(text), metadata_block(fields)
+    if place == "front":
+        rest = F.regexp_replace(body, r"(?s)\A\ufeff?---\r?\n.*?\r?\n---(?:\r?\n|\z)", "")
+        return F.concat(F.lit("---\n"), block, F.lit("\n---\n"), rest)
+    bare = F.regexp_replace(body, rf"(?s)\s*\n#+ {heading}\s*\n+```[a-z]*\r?\n.*?\r?\n```[ \t]*", "")
+    return F.concat(F.regexp_replace(bare, r"\s+\z", ""), F.lit(f"\n\n## {heading}\n\n```yaml\n"), block, F.lit("\n```\n"))
+
+
+def seeded(spark: SparkSession, keys: list[str], column: str = "item_key") -> DataFrame:
+    """The distinct keys of a request as rows, where no cards are there to start from."""
+    return spark.createDataFrame([(k,) for k in sorted(set(keys))], f"{column} string")
+
+
+def given_or(spark: SparkSession, path: str | None, schema: str, live: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of a JSON lines file if one is given, else what a live look-up finds."""
+    return read_jsonl(spark, path, schema) if path else live()
+
+
 def markdown_table(text: Column, columns: list[str]) -> Column:
     """Rows of the tables in a Markdown text that begin with a linked key, as structs: the key, then the cells behind it."""
     lines = F.filter(F.split(text_of(text), r"\r?\n"), lambda x: x.rlike(r"^\s*\|\s*\[([A-Z0-9]{8})\]\([^)]*\b\1\)"))

@@ -3,7 +3,7 @@
     spark.dataSource.register(PagedSource)
     spark.read.format("paged").option("fetcher", "package.module:function").option("total", 5000).load()
 
-The fetcher is called with (start, limit) and returns a list of JSON objects with a ``key``. With a known
+The fetcher is called with (start, limit), and with the option ``path`` if there is one, and returns a list of JSON objects with a ``key``. With a known
 total every page is a partition of its own and pages are fetched in parallel; without it one task reads
 until a page is empty or short, or ``max_records`` are read.
 """
@@ -30,6 +30,7 @@ def load_fetcher(name: str) -> Callable[[int, int], list]:
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.fetcher = options["fetcher"]
+        self.path = options.get("path")
         self.size = int(options.get("page_size", 100))
         self.total = int(options["total"]) if "total" in options else None
         self.most = int(options["max_records"]) if "max_records" in options else None
@@ -44,7 +45,7 @@ class PagedReader(DataSourceReader):
         fetch, start, read = load_fetcher(self.fetcher), partition.start, 0
         while True:
             limit = partition.limit if self.most is None or not partition.to_end else min(partition.limit, self.most - read)
-            page = fetch(start, limit) if limit > 0 else []
+            page = (fetch(start, limit, self.path) if self.path else fetch(start, limit)) if limit > 0 else []
             if not isinstance(page, list):
                 return
             for record in page:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,14 +20,26 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json(rows: DataFrame, path: str, head: dict[str, str] | None = None, field: str = "items") -> None:
+    """One indented JSON document: the head's values and the rows as a list; for reports, so the rows are bounded."""
+    document = {**(head or {}), field: [json.loads(r.line) for r in _report_rows(rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")))]}
+    text = json.dumps(document, ensure_ascii=False, indent=2)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_events(rows: DataFrame, path: str, defaults: dict[str, str]) -> None:
     """Full event rows appended to a log; columns that are missing get their default."""
     rows.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in rows.columns}).write.mode("append").json(path)
 
 
+#: Files of a topic, at most.
+TOPIC_FILES = 32
+
+
 def write_by_topic(rows: DataFrame, topics: DataFrame, key: str, path: str) -> None:
     """One partition per topic; a row may be in several. Partitions of topics that are gone go too."""
-    rows.join(topics, key).repartition("topic").write.mode("overwrite").partitionBy("topic").parquet(path)
+    # rows of a large topic are written by several tasks, by their key
+    rows.join(topics, key).repartition("topic", F.pmod(F.xxhash64(key), F.lit(TOPIC_FILES))).write.mode("overwrite").partitionBy("topic").parquet(path)
 
 
 def write_texts(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:

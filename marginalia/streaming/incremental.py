@@ -24,6 +24,13 @@ def newer_than(rows: DataFrame, mark: DataFrame, time: str, key: str) -> DataFra
     return joined.join(seen, key, "left").where(F.col("_at").isNull() | (F.col(time) > F.col("_at")) | ((F.col(time) == F.col("_at")) & F.col("_seen").isNull())).select(*rows.columns)
 
 
+def guarded_mark(mark: DataFrame, first_scan: bool) -> DataFrame:
+    """A mark that must be there: without one everything would count as new, so a first scan has to be asked for."""
+    if not first_scan and mark.isEmpty():
+        raise ValueError("there is no watermark; ask for a first scan")
+    return mark
+
+
 def windowed_counts(rows: DataFrame, time: str, width: str, by: list[str], late: str | None = None) -> DataFrame:
     """Counts per event-time window; with ``late`` a stream drops state once events that late can't come any more."""
     source = rows.withWatermark(time, late) if late else rows
@@ -40,31 +47,66 @@ def deduplicated(stream: DataFrame, key: str, time: str, late: str) -> DataFrame
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str], available_now: bool = True) -> StreamingQuery:
-    """Each batch is folded into a Parquet table of versions: version n + 1 is version n with the batch's last rows.
+BUCKETS = 64
+
 
-    A batch that is tried again writes the same version again, so replays leave no trace; the newest
-    version that its batch finished is read with ``read_versioned``.
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str], available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each batch is folded into a Parquet table of versions: version n holds anew the buckets of keys that batch n touches.
+
+    A bucket is read from the newest version that holds it, so a batch rewrites what it touches and nothing
+    else. A batch that is tried again writes the same version again, so replays leave no trace. Versions
+    that no bucket is read from any more are dropped, but for the last one before the batch.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = merge.last_rows(batch, keys, order)
-        old = read_versioned(spark, table, number - 1) if number else None
-        merged = fresh if old is None else merge.last_rows(old.unionByName(fresh), keys, order)
-        merged.write.mode("overwrite").parquet(f"{table}/version={number}")
+        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        fresh = merge.last_rows(keyed, keys, order)
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # one row per bucket at most
+        old = _read_buckets(spark, table, number - 1, set(touched)) if number else None
+        merged = fresh if old is None else merge.last_rows(old.select(*fresh.columns).unionByName(fresh), keys, order)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={number}")
+        held = _buckets(spark, table, 1 << 60)
+        for version in _versions(spark, table)[:-2]:
+            if version not in held.values():
+                _file_system(spark, table).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={version}"), True)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start() if available_now else query.trigger(processingTime="300 seconds").start()
 
 
-def read_versioned(spark: SparkSession, table: str, version: int) -> DataFrame | None:
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Versions whose batch has finished, oldest first."""
+    fs, path = _file_system(spark, table), spark._jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(path(table)):
+        return []
+    held = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path(table)) if s.getPath().getName().startswith("version=")]
+    return sorted(v for v in held if fs.exists(path(f"{table}/version={v}/_SUCCESS")))
+
+
+def _buckets(spark: SparkSession, table: str, version: int) -> dict[int, int]:
+    """The version from which each bucket is read."""
+    fs, path = _file_system(spark, table), spark._jvm.org.apache.hadoop.fs.Path
+    found: dict[int, int] = {}
+    for v in _versions(spark, table):
+        if v <= version:
+            found |= {int(s.getPath().getName().split("=")[1]): v for s in fs.listStatus(path(f"{table}/version={v}")) if s.getPath().getName().startswith("bucket=")}
+    return found
+
+
+def _read_buckets(spark: SparkSession, table: str, version: int, wanted: set[int] | None = None) -> DataFrame | None:
+    paths = [f"{table}/version={v}/bucket={b}" for b, v in _buckets(spark, table, version).items() if wanted is None or b in wanted]
+    return spark.read.option("basePath", table).parquet(*paths) if paths else None
+
+
+def read_versioned(spark: SparkSession, table: str, version: int = 1 << 60) -> DataFrame | None:
     """A version of a table written by ``upsert_stream``, or the newest one before it; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = [] if not fs.exists(path) else [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    done = [v for v in held if v <= version and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={v}/_SUCCESS"))]
-    return spark.read.parquet(f"{table}/version={max(done)}") if done else None
+    rows = _read_buckets(spark, table, version)
+    return None if rows is None else rows.drop("bucket", "version")
 
 
 def emit_once(stream: DataFrame, key: str, time: str, late: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
