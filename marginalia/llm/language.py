@@ -292,7 +292,7 @@ def language_sample(texts: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, str]
     )
     drawn = texts.join(F.broadcast(chosen), ["label", "item_key"], "left_semi").select("label", "item_key", F.concat_ws("\n", "title", "text").alias("text")).distinct().collect()
     drawn.sort(key=lambda r: (r.label, r.item_key, r.text))
-    return fit([(r.label, r.text[:5_000]) for r in drawn])
+    return fit([(r.label, r.text) for r in drawn])
 
 
 def language_segments(items: DataFrame) -> DataFrame:
