@@ -50,9 +50,52 @@ _LATEST = """
     pairs AS (SELECT node AS descendant_key, depth, unnest(above) AS collection_key, unnest(range(len(above))) AS place FROM tree)
 """
 
+# Packed cells as DuckDB finds them: values are runs of characters that are no delimiters, or of whole quoted pieces, where the query folds pieces
+def _cells(field: str, table: str, key: str) -> str:
+    return f"""SELECT field, card_id, replace(CASE WHEN regexp_matches(cell, '^\\s*\\[\\s*''') THEN replace(cell, '''', '"') ELSE translate(cell, '“”＂', repeat(chr(34), 3)) END, ' / ', ';') AS cell
+      FROM (SELECT DISTINCT '{field}' AS field, {key} AS card_id, "{field}" AS cell FROM {table} WHERE lower(trim("{field}")) NOT IN ('', '?', '[]', 'none', 'null', '未填写'))"""
+
+
+def _runs(x: str, delimiters: str) -> str:
+    return f"""regexp_extract_all({x}, '(?:[^{delimiters}"]|"[^"]*"|")+')"""
+
+
+def _bare(x: str) -> str:
+    return f"""regexp_replace({x}, '"([^"]*)"', '\\1', 'g')"""
+
+
+def _addresses(x: str) -> str:
+    for before, after in (("\\S", "\\s+(\\([0-9]+\\)\\s*\\p{Lu})"), ("\\S", "\\s+([a-z]\\s+\\p{Lu}\\p{Ll})"), ("\\p{L}", "\\s+([0-9]{1,2}[.]?\\s+\\p{Lu}\\p{Ll})"), ("\\S", "\\s*([¹²³⁴⁵⁶⁷⁸⁹])")):
+        x = f"regexp_replace({x}, '({before}){after}', '\\1' || chr(10) || '\\2', 'g')"
+    return x
+
+
+_LINES = "\\t\\r\\n"
+_LATIN = "[\\p{Latin}.''’-]+"
+_PEOPLE = f"""CASE WHEN contains(s, '"') THEN {_runs("s", ",")}
+   WHEN regexp_full_match(s, '\\s*[\\p{{Han}}·]+(\\s+[\\p{{Han}}·]+)+\\s*') THEN regexp_split_to_array(trim(s), '\\s+')
+   WHEN NOT contains(s, ',') OR regexp_full_match(s, '\\s*{_LATIN},\\s*[\\p{{Latin}}.''’ -]+') THEN [s]
+   WHEN regexp_full_match(s, '\\s*{_LATIN}(,\\s*{_LATIN})+\\s*') AND len(string_split(s, ',')) % 2 = 0 THEN regexp_extract_all(s, '[^,]+,[^,]+')
+   ELSE string_split(s, ',') END"""
+_MARK, _NUMBER = "'^(?:[\\s*†‡§¹²³⁴⁵⁶⁷⁸⁹⁰\\[\\]]|\\([0-9]+\\)|[0-9]{1,2}[.)]\\s)+'", "'^(?:[0-9]{1,2}|[a-z])\\s+(\\p{Lu})'"
+_EDGE = "'^(?:[\\s\\[\\]*,]|\\([0-9]+\\)|[0-9]{1,2}[.)]\\s)+|[\\s\\[\\],]+$|[\\s,]+(?:et\\s+al\\.?|等人?)\\s*$'"
+_JOINED = "regexp_replace(regexp_replace(cell, ',?\\s+(?:and|&)\\s+', ';', 'g'), '\\s*/\\s*', ';', 'g')"
+_PACKED = f"""
+    WITH held AS (SELECT field, card_id, list_filter(found, lambda v: v <> '' AND NOT regexp_full_match(v, 'et\\s+al\\.?|等人?')) AS found FROM (
+      SELECT field, card_id, list_transform({_runs("cell", ";；,，|、" + _LINES)}, lambda v: trim({_bare("v")}, e' \\t\\n\\r[]')) AS found FROM ({_cells("Tags", "reading_summary", "人工参阅编号")})
+      UNION ALL
+      SELECT field, card_id, list_transform({_runs(_addresses("cell"), ";；|" + _LINES)}, lambda v: regexp_replace(regexp_replace(regexp_replace({_bare("v")}, {_MARK}, ''), {_NUMBER}, '\\1'), '[\\s\\[\\],]+$', ''))
+      FROM ({_cells("first_author_affiliation_raw", "first_author_affiliations", "card_id")})
+      UNION ALL
+      SELECT field, card_id, list_transform(flatten(list_transform({_runs(_JOINED, ";；|、，" + _LINES)}, lambda s: {_PEOPLE})), lambda v: regexp_replace(regexp_replace({_bare("v")}, {_EDGE}, '', 'g'), {_EDGE}, '', 'g'))
+      FROM ({_cells("作者", "reading_summary", "人工参阅编号")})))
+"""
+
 QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_descendants": p5_descendants}
 
 ORACLES = {
+    "p3_found": _PACKED + " SELECT field, card_id, CAST(generate_subscripts(found, 1) AS INTEGER) AS pos, unnest(found) AS value FROM held WHERE len(found) >= 2",
+    "p3_values": _PACKED + " SELECT field, value, count(*) AS n_cells FROM (SELECT field, card_id, unnest(found) AS value FROM held) GROUP BY ALL",
     "p5_found": _LATEST
     + """
     SELECT l.node AS collection_key, coalesce(t.root, 'cycle') AS root_key, coalesce(t.depth, -1) AS depth, coalesce(t.path, '') AS path,
