@@ -33,10 +33,49 @@ def sql(spark: SparkSession, text: str, **names) -> DataFrame:
     return named_sql(spark, text, STOP=STOP, HAN=HAN, **names)
 
 
-def _aliases(listed: DataFrame, rankings: DataFrame) -> DataFrame:
-    """(entry, alias, kind, words): every string under which an entry may be typed."""
+#: Characters of the first and last part of an unspaced title, at most.
+PART = 4
+
+
+def title_parts(titles: DataFrame) -> DataFrame:
+    """(title, place, subject, sort_of) of unspaced ``titles(title)``: cut where what may stand beside a part varies most.
+
+    A part that many titles share, and that different characters follow (or precede, at the end), is a word
+    of its own; one character more or less and the next one is nearly fixed. Where a part occurs once only,
+    the length that most titles have counts. Titles that are too short for three parts are left out.
+    """
+    return sql(
+        titles.sparkSession,
+        r"""
+        WITH cuts AS (
+          SELECT title, side, k, IF(side = 'head', left(title, k), right(title, k)) AS part, IF(side = 'head', substr(title, k + 1, 1), substr(title, length(title) - k, 1)) AS beside
+          FROM (SELECT title, side, explode(sequence(1, least({PART}, length(title) - 2))) AS k FROM (SELECT DISTINCT title FROM {t} WHERE length(title) >= 3) CROSS JOIN VALUES ('head'), ('tail') AS sides(side))),
+        varied AS (SELECT side, part, count(DISTINCT beside) AS variety FROM cuts GROUP BY side, part),
+        best AS (SELECT title, side, max_by(k, struct(variety, k)) AS k, max(variety) AS variety FROM cuts JOIN varied USING (side, part) GROUP BY title, side),
+        usual AS (SELECT side, mode(k, true) AS k FROM best WHERE variety > 1 GROUP BY side),
+        chosen AS (SELECT title, side, IF(variety > 1, b.k, u.k) AS k FROM best b JOIN usual u USING (side))
+        SELECT title, left(title, a) AS place, substr(title, a + 1, length(title) - a - z) AS subject, right(title, z) AS sort_of
+        FROM (SELECT title, max(IF(side = 'head', k, NULL)) AS a, max(IF(side = 'tail', k, NULL)) AS z FROM chosen GROUP BY title) WHERE a + z < length(title)""",
+        t=titles,
+        PART=PART,
+    )
+
+
+def _han_titles(rankings: DataFrame) -> DataFrame:
+    """(entry, title, other) of the rows with a title in Han script, the title without blanks and signs."""
+    return sql(
+        rankings.sparkSession,
+        r"""
+        SELECT normalized_name AS entry, regexp_replace(lower(journal_name), r'[^\p{L}\p{N}_]+', '') AS title, source_query AS other
+        FROM {r} WHERE journal_name RLIKE r'{HAN}'""",
+        r=rankings,
+    )
+
+
+def _aliases(listed: DataFrame, rankings: DataFrame, cut: DataFrame) -> DataFrame:
+    """(entry, alias, kind, words): every string under which an entry may be typed; ``cut`` holds the parts of unspaced titles."""
     spark = listed.sparkSession
-    # the parts of a title: Latin words, or place + subject + kind of a Chinese title
+    # the words of a title; of a Chinese one its place, subject and kind are the parts
     parts = sql(
         spark,
         r"""
@@ -74,13 +113,7 @@ def _aliases(listed: DataFrame, rankings: DataFrame) -> DataFrame:
         l=latin,
     )
     # English names of Chinese titles, composed from the parts of those names that the list gives
-    han = sql(
-        spark,
-        r"""
-        SELECT entry, title, substr(title, 1, 2) AS place, substr(title, 3, length(title) - 4) AS subject, right(title, 2) AS sort_of, other
-        FROM {p} WHERE han AND length(title) >= 5""",
-        p=parts,
-    )
+    han = sql(spark, "SELECT entry, title, place, subject, sort_of, other FROM {h} JOIN {cut} USING (title)", h=_han_titles(rankings), cut=cut)
     both = sql(
         spark,
         r"""
@@ -117,7 +150,7 @@ def _aliases(listed: DataFrame, rankings: DataFrame) -> DataFrame:
           UNION ALL
           SELECT entry, array_join(transform(split(array_join(words, '-'), '-'), w -> substr(w, 1, 1)), ''), 'acronym', array(array_join(transform(split(array_join(words, '-'), '-'), w -> substr(w, 1, 1)), '')) FROM {t}
           UNION ALL
-          SELECT entry, entry, 'han', array(substr(entry, 1, 2), substr(entry, 3, length(entry) - 4), right(entry, 2)) FROM {listed} WHERE entry RLIKE r'{HAN}'
+          SELECT entry, entry, 'han', IF(c.title IS NULL, array(entry), array(place, subject, sort_of)) FROM {listed} l LEFT JOIN {cut} c ON l.entry = c.title WHERE entry RLIKE r'{HAN}'
           UNION ALL
           SELECT entry, replace(replace(name, ' ', ''), '-', ''), 'full', split(name, ' ') FROM {c}
           UNION ALL
@@ -128,18 +161,18 @@ def _aliases(listed: DataFrame, rankings: DataFrame) -> DataFrame:
         c=composed,
         p=parts,
         listed=listed,
+        cut=cut,
     )
 
 
-def _typed(values: DataFrame) -> DataFrame:
-    """(raw, typed, words): raw values without decoration, one row for each reading of a value."""
-    traditional, simplified = simplifying(values.sparkSession)
-    return sql(
-        values.sparkSession,
+def _typed(values: DataFrame, cut: DataFrame) -> DataFrame:
+    """(raw, typed, words): raw values without decoration, one row for each reading of a value; unspaced ones are cut as the list's titles are."""
+    spark = values.sparkSession
+    traditional, simplified = simplifying(spark)
+    plain = sql(
+        spark,
         r"""
-        SELECT raw, replace(array_join(words, ''), '-', '') AS typed,
-               IF(array_join(words, '') RLIKE r'{HAN}',
-                  array(substr(array_join(words, ''), 1, 2), substr(array_join(words, ''), 3, length(array_join(words, '')) - 4), right(array_join(words, ''), 2)), words) AS words
+        SELECT raw, replace(array_join(words, ''), '-', '') AS typed, array_join(words, '') RLIKE r'{HAN}' AS han, words
         FROM (
           SELECT raw, explode(array(all_words, filter(all_words, w -> w NOT IN ({STOP})))) AS words FROM (
           SELECT raw, filter(split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(part,
@@ -160,6 +193,20 @@ def _typed(values: DataFrame) -> DataFrame:
         traditional=traditional,
         simplified=simplified,
     ).distinct()
+    # the longest first part, and the longest last one, that the list's titles have
+    return sql(
+        spark,
+        r"""
+        WITH lengths AS (SELECT DISTINCT typed, side, k FROM (SELECT typed, inline(transform(sequence(1, {PART}), k -> struct(k, left(typed, k) AS head, right(typed, k) AS tail))) FROM {p} WHERE han)
+                         JOIN (SELECT DISTINCT inline(array(struct('head' AS side, place AS part), struct('tail' AS side, sort_of AS part))) FROM {cut}) ON part = IF(side = 'head', head, tail)),
+        found AS (SELECT typed AS key, coalesce(max(IF(side = 'head', k, NULL)), 0) AS a, coalesce(max(IF(side = 'tail', k, NULL)), 0) AS z FROM lengths GROUP BY typed)
+        SELECT raw, typed, CASE WHEN NOT han THEN words WHEN key IS NULL OR a + z >= length(typed) THEN array(typed)
+                                ELSE filter(array(left(typed, a), substr(typed, a + 1, length(typed) - a - z), right(typed, z)), w -> w <> '') END AS words
+        FROM {p} LEFT JOIN found ON typed = key""",
+        p=plain,
+        cut=cut,
+        PART=PART,
+    )
 
 
 def pigeonhole_pairs(aliases: DataFrame, typed: DataFrame) -> DataFrame:
@@ -216,9 +263,10 @@ def map_to_list(cases: DataFrame, rankings: DataFrame) -> DataFrame:
     """
     spark = cases.sparkSession
     listed = rankings.where("status = 'ok'").selectExpr("normalized_name AS entry").distinct()
-    aliases = cut_lineage(_aliases(listed, rankings))
+    cut = cut_lineage(title_parts(_han_titles(rankings).select("title")))
+    aliases = cut_lineage(_aliases(listed, rankings, cut))
     values = sql(spark, "SELECT raw FROM {c} UNION SELECT hint FROM {c} WHERE hint IS NOT NULL", c=cases)
-    typed = cut_lineage(_typed(values))
+    typed = cut_lineage(_typed(values, cut))
     # a reading that is an alias as it stands needs no search for near ones, unless the alias is an acronym; other readings of its value do
     exact = sql(spark, "SELECT DISTINCT raw, typed, alias, kind FROM {t} JOIN {a} ON typed = alias", t=typed, a=aliases)
     rest = sql(spark, "SELECT * FROM {t} LEFT ANTI JOIN (SELECT raw, typed FROM {e} WHERE kind <> 'acronym') USING (raw, typed)", t=typed, e=exact)

@@ -91,3 +91,13 @@ def test_join_finds_every_pair(spark, seed):
     found = {(r.typed, r.alias, r.d) for r in canonical.pigeonhole_pairs(aliases, spark.createDataFrame([(t, t, [t]) for t in typed], "raw string, typed string, words array<string>")).collect()}
     k = lambda w: 0 if len(w) < 8 else min(4, len(w) // 7)
     assert found == {(t, w, levenshtein(t, w)) for t in typed for w in words if t and levenshtein(t, w) <= k(w)}
+
+
+def test_unspaced_titles_are_cut_by_what_varies(spark):
+    """Parts of any length, learnt from the titles; a place or a kind that occurs once is cut as most are."""
+    places, subjects, kinds = ["黑龙江", "乌鲁木", "石家庄", "哈尔滨"], ["热工", "建筑物理", "气候", "储能技术"], ["学报", "通讯"]
+    titles = [p + s + k for p in places for s in subjects for k in kinds] + ["呼和浩" + "气候" + "学报"]
+    found = {r.title: (r.place, r.subject, r.sort_of) for r in canonical.title_parts(spark.createDataFrame([(t, "x") for t in titles] * 2, "title string, place string")).collect()}
+    assert found == {p + s + k: (p, s, k) for p in [*places, "呼和浩"] for s in subjects for k in kinds if p + s + k in titles}
+    assert canonical.title_parts(spark.createDataFrame([("热",), (None,), ("",)], "title string")).count() == 0
+    assert canonical.title_parts(spark.createDataFrame([], "title string")).count() == 0
