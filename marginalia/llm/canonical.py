@@ -51,7 +51,7 @@ def title_parts(titles: DataFrame) -> DataFrame:
           SELECT title, side, k, IF(side = 'head', left(title, k), right(title, k)) AS part, IF(side = 'head', substr(title, k + 1, 1), substr(title, length(title) - k, 1)) AS beside
           FROM (SELECT title, side, explode(sequence(1, least({PART}, length(title) - 2))) AS k FROM (SELECT DISTINCT title FROM {t} WHERE length(title) >= 3) CROSS JOIN VALUES ('head'), ('tail') AS sides(side))),
         varied AS (SELECT side, part, count(DISTINCT beside) AS variety FROM cuts GROUP BY side, part),
-        best AS (SELECT title, side, max_by(k, struct(variety, k)) AS k, max(variety) AS variety FROM cuts JOIN varied USING (side, part) GROUP BY title, side),
+        best AS (SELECT title, side, max_by(k, struct(variety, -k)) AS k, max(variety) AS variety FROM cuts JOIN varied USING (side, part) GROUP BY title, side),
         usual AS (SELECT side, mode(k, true) AS k FROM best WHERE variety > 1 GROUP BY side),
         chosen AS (SELECT title, side, IF(variety > 1, b.k, u.k) AS k FROM best b JOIN usual u USING (side))
         SELECT title, left(title, a) AS place, substr(title, a + 1, length(title) - a - z) AS subject, right(title, z) AS sort_of
