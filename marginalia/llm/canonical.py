@@ -38,7 +38,7 @@ PART = 4
 
 
 def title_parts(titles: DataFrame) -> DataFrame:
-    """(title, place, subject, sort_of) of unspaced ``titles(title)``: cut where what may stand beside a part varies most.
+    """(title, place, subject, sort_of) of unspaced ``titles(title)``: cut where what may stand beside a part varies.
 
     A part that many titles share, and that different characters follow (or precede, at the end), is a word
     of its own; one character more or less and the next one is nearly fixed. Where a part occurs once only,
@@ -51,9 +51,12 @@ def title_parts(titles: DataFrame) -> DataFrame:
           SELECT title, side, k, IF(side = 'head', left(title, k), right(title, k)) AS part, IF(side = 'head', substr(title, k + 1, 1), substr(title, length(title) - k, 1)) AS beside
           FROM (SELECT title, side, explode(sequence(1, least({PART}, length(title) - 2))) AS k FROM (SELECT DISTINCT title FROM {t} WHERE length(title) >= 3) CROSS JOIN VALUES ('head'), ('tail') AS sides(side))),
         varied AS (SELECT side, part, count(DISTINCT beside) AS variety FROM cuts GROUP BY side, part),
-        best AS (SELECT title, side, max_by(k, struct(variety, -k)) AS k, max(variety) AS variety FROM cuts JOIN varied USING (side, part) GROUP BY title, side),
-        usual AS (SELECT side, mode(k, true) AS k FROM best WHERE variety > 1 GROUP BY side),
-        chosen AS (SELECT title, side, IF(variety > 1, b.k, u.k) AS k FROM best b JOIN usual u USING (side))
+        -- the first part with more beside it than the next longer one has; a whole subject with its kind may be shared, too
+        best AS (
+          SELECT title, side, min(IF(variety > 1 AND variety > coalesce(longer, 0), k, NULL)) AS k
+          FROM (SELECT title, side, k, variety, lead(variety) OVER (PARTITION BY title, side ORDER BY k) AS longer FROM cuts JOIN varied USING (side, part)) GROUP BY title, side),
+        usual AS (SELECT side, mode(k, true) AS k FROM best WHERE k IS NOT NULL GROUP BY side),
+        chosen AS (SELECT title, side, coalesce(b.k, u.k) AS k FROM best b JOIN usual u USING (side))
         SELECT title, left(title, a) AS place, substr(title, a + 1, length(title) - a - z) AS subject, right(title, z) AS sort_of
         FROM (SELECT title, max(IF(side = 'head', k, NULL)) AS a, max(IF(side = 'tail', k, NULL)) AS z FROM chosen GROUP BY title) WHERE a + z < length(title)""",
         t=titles,
