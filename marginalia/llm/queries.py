@@ -111,6 +111,17 @@ _P4 = """
       JOIN singles y ON y.kind = p.kind AND y.value = right_value JOIN totals t ON t.kind = p.kind)
 """
 
+# every window of 240 characters by brute force
+_P10 = """
+    WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240),
+    windows AS (SELECT doc_id, p, hash(substr(text, p + 1, 240)) AS h FROM (SELECT doc_id, text, unnest(range(n - 239)) AS p FROM texts)),
+    shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+    found AS (SELECT doc_id, p FROM windows JOIN shared USING (h)),
+    runs AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+      SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 240 THEN 0 ELSE 1 END AS opens FROM found)),
+    spans AS (SELECT doc_id, CAST(min(p) AS INTEGER) AS span_start, CAST(max(p) + 240 AS INTEGER) AS span_end FROM runs GROUP BY doc_id, run)
+"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
@@ -135,4 +146,8 @@ ORACLES: dict[str, str] = {
     "p4_pairs": _P4
     + """ SELECT kind, left_value, right_value, n_both, n_left, n_right, n_all,
           round(n_both * n_all / (n_left * n_right), 9) AS lift, round(log2(n_both * n_all / (n_left * n_right)), 9) AS pmi FROM full_pairs""",
+    "p10_found": _P10 + " SELECT * FROM spans",
+    "p10_share": _P10
+    + """ SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shared, CASE WHEN coalesce(length(d.text), 0) > 0 THEN coalesce(s.n, 0) / length(d.text) ELSE 0.0 END AS share
+      FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM spans GROUP BY doc_id) s ON s.doc_id = d.doc_id""",
 }
