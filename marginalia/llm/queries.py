@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -111,6 +112,32 @@ _P4 = """
       JOIN singles y ON y.kind = p.kind AND y.value = right_value JOIN totals t ON t.kind = p.kind)
 """
 
+def _plain_sql(text: str) -> str:
+    """Case and compatibility forms evened out in DuckDB, which knows no NFKC: a table of single characters made by rule, and the ligatures."""
+    forms = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]]
+    single = [(a, b) for a, b in forms if a != b and len(b) == 1]
+    for wide, narrow in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ß", "ss")):
+        text = f"replace({text}, '{wide}', '{narrow}')"
+    wide, narrow = ("".join(x).replace("'", "''") for x in zip(*single))
+    return f"lower(translate({text}, '{wide}', '{narrow}'))"
+
+
+# every window of 12 words, or 24 characters, by brute force
+_OPENING = "'^(?s)(.*?(?:[.!?]\\s|[。！？]))(.+)$'"
+_LETTER = "[\\p{L}\\p{N}]"
+_P9 = f"""
+    WITH parted AS (SELECT DISTINCT item_id, text, lower(trim(regexp_extract(text, {_OPENING}, 1))) AS opening, regexp_extract(text, {_OPENING}, 2) AS rest FROM test_items WHERE text IS NOT NULL),
+    common AS (SELECT opening FROM parted WHERE opening <> '' GROUP BY opening HAVING count(DISTINCT rest) > 1),
+    items AS (SELECT item_id, {_plain_sql("CASE WHEN c.opening IS NULL THEN text ELSE rest END")} AS t FROM parted p LEFT JOIN common c ON c.opening = p.opening),
+    docs AS (SELECT doc_id, {_plain_sql("text")} AS t FROM documents WHERE text IS NOT NULL),
+    kinds AS (SELECT item_id, t, 2 * len(regexp_extract_all(t, '\\p{{Han}}')) > len(regexp_extract_all(t, '{_LETTER}')) AS han FROM items),
+    units AS (
+      SELECT 'item' AS side, item_id AS id, han, CASE WHEN han THEN regexp_extract_all(t, '{_LETTER}') ELSE regexp_extract_all(t, '{_LETTER}+') END AS u FROM kinds
+      UNION ALL SELECT 'doc', doc_id, FALSE, regexp_extract_all(t, '{_LETTER}+') FROM docs
+      UNION ALL SELECT 'doc', doc_id, TRUE, regexp_extract_all(t, '{_LETTER}') FROM docs WHERE regexp_matches(t, '\\p{{Han}}')),
+    windows AS (SELECT side, id, han, hash(array_to_string(u[k : k + CASE WHEN han THEN 23 ELSE 11 END], ' ')) AS h FROM (SELECT side, id, han, u, unnest(range(1, len(u) - CASE WHEN han THEN 22 ELSE 10 END)) AS k FROM units))
+    SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM windows i JOIN windows d ON i.side = 'item' AND d.side = 'doc' AND i.han = d.han AND i.h = d.h"""
+
 # every window of 240 characters by brute force
 _P10 = """
     WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240),
@@ -146,6 +173,7 @@ ORACLES: dict[str, str] = {
     "p4_pairs": _P4
     + """ SELECT kind, left_value, right_value, n_both, n_left, n_right, n_all,
           round(n_both * n_all / (n_left * n_right), 9) AS lift, round(log2(n_both * n_all / (n_left * n_right)), 9) AS pmi FROM full_pairs""",
+    "p9_found": _P9,
     "p10_found": _P10 + " SELECT * FROM spans",
     "p10_share": _P10
     + """ SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shared, CASE WHEN coalesce(length(d.text), 0) > 0 THEN coalesce(s.n, 0) / length(d.text) ELSE 0.0 END AS share
