@@ -40,6 +40,9 @@ def local_session(cores: int | str = 4, shuffle_partitions: int = 8, memory: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage: the shared one that spark.checkpoint.dir names; a private one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and getattr(spark, "_jsc", None) is not None:
+        set_by_hand = spark._jsc.sc().getCheckpointDir()
+        named = set_by_hand.get() if set_by_hand.isDefined() else None
     if named is None and not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named or (Path(tempfile.gettempdir()) / "marginalia-lineage").as_uri()

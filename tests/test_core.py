@@ -256,3 +256,14 @@ def test_streams(spark, tmp_path, rows):
     stream = incremental.read_events(spark, source, schema)
     incremental.emit_once(stream, "k", "t", "10 days", lambda df, n: seen.extend(r.k for r in df.collect()), str(tmp_path / "point2")).awaitTermination(120)
     assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_cut_lineage_lies_in_the_shared_folder(spark, rows):
+    from marginalia.session import cut_lineage, own_folder, shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    df = spark.createDataFrame([("a", None, [1, None]), (None, 2.5, [])], "k string, v double, l array<int>")
+    cut = cut_lineage(df)
+    assert rows(cut) == rows(df) and cut.schema == df.schema
+    assert all(f.startswith(own_folder(spark)) for f in cut.inputFiles())
+    assert cut_lineage(df.limit(0)).count() == 0
