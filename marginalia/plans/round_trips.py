@@ -5,8 +5,10 @@ What is written lies in the shared folder of the session and is deleted when its
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -111,15 +113,41 @@ def materials(spark: SparkSession, base: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"attachment_key=([^/]+)/", 1).alias("attachment_key"), "kind", "status", F.length("text").alias("size"))
 
 
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+@functools.lru_cache(1 << 16)
+def _group_sizes(table: str, path: str, size: int, changed: int) -> list[int]:
+    """Rows of each row group of a file of a Parquet table; a worker reads them once as long as the file stays as it is."""
+    metadata = pq.ParquetFile(path, filesystem=_system(table)[0]).metadata
+    return [metadata.row_group(k).num_rows for k in range(metadata.num_row_groups)]
+
+
+def _files(system: pafs.FileSystem, path: str) -> list[pafs.FileInfo]:
+    """The files of a Parquet table, which is one file or a folder of them; hidden ones don't belong to it."""
+    found = system.get_file_info(path)
+    if found.type == pafs.FileType.Directory:
+        inside = (x for x in system.get_file_info(pafs.FileSelector(path, recursive=True)) if x.type == pafs.FileType.File)
+        return sorted((x for x in inside if not any(part[:1] in "_." for part in x.path[len(path) :].strip("/").split("/"))), key=lambda x: x.path)
+    return [found]
+
+
 def fetch_rows(start: int, limit: int, path: str = "") -> list[dict]:
-    """Rows start to start + limit of a Parquet file as a remote collection would give them; only row groups that hold any are read."""
-    file, at, rows = pq.ParquetFile(path), 0, []
-    for group in range(file.num_row_groups):
-        n = file.metadata.row_group(group).num_rows
-        if at < start + limit and at + n > start:
-            first = max(0, start - at)
-            rows += file.read_row_group(group, columns=["item_key", "version", "title"]).slice(first, start + limit - at - first).to_pylist()
-        at += n
+    """Rows start to start + limit of a Parquet table as a remote collection would give them; only row groups that hold any are read."""
+    system, place = _system(path)
+    at, rows = 0, []
+    for info in _files(system, place):
+        file = None
+        for group, n in enumerate(_group_sizes(path, info.path, info.size, info.mtime_ns)):
+            if at < start + limit and at + n > start:
+                file = file or pq.ParquetFile(info.path, filesystem=system)
+                first = max(0, start - at)
+                rows += file.read_row_group(group, columns=["item_key", "version", "title"]).slice(first, start + limit - at - first).to_pylist()
+            at += n
+        if at >= start + limit:
+            break
     return [{"key": r["item_key"], "version": r["version"], "data": {"title": r["title"]}} for r in rows]
 
 
@@ -127,9 +155,10 @@ def paged_items(spark: SparkSession, base: str) -> DataFrame:
     """The items table as a paged remote collection, its pages fetched in parallel."""
     spark.dataSource.register(PagedSource)
     total = read_table(spark, base, "library_items").count()
-    options = {"fetcher": "marginalia.plans.round_trips:fetch_rows", "page_size": max(100, total // 64), "total": total, "path": f"{base}/library_items.parquet"}
-    rows = spark.read.format("paged").options(**options).load()
-    return rows.select("key", "version", F.md5(S.text_of(F.get_json_object("record", "$.data.title"))).alias("title")).groupBy("key", "version", "title").agg(F.count("*").alias("n"))
+    # a page is held by its task as a whole, so pages of large tables are more, not larger
+    options = {"fetcher": "marginalia.plans.round_trips:fetch_rows", "page_size": min(max(100, total // 64), 50_000), "total": total, "path": f"{base}/library_items.parquet"}
+    record = spark.read.format("paged").options(**options).load().select(F.from_json("record", "key string, version int, data struct<title: string>").alias("r"))
+    return record.select("r.key", "r.version", F.md5(S.text_of(F.col("r.data.title"))).alias("title")).groupBy("key", "version", "title").agg(F.count("*").alias("n"))
 
 
 _EVENTS = "event_id long, item_key string, event_type string, details_json string, event_at timestamp, detected_at timestamp"

@@ -1,6 +1,8 @@
 import datetime
+import hashlib
 import json
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import paragraphs, scalars as S
 from marginalia.functions.affiliations import Rules, affiliation_of
 from marginalia.operators import aggregate, merge, paths, rules, search, sets
+from marginalia.plans import round_trips
 from marginalia.sources import files, sinks
 from marginalia.sources.paged import PagedSource
 from marginalia.streaming import incremental
@@ -215,6 +218,16 @@ def test_paged_source(spark):
     assert reader(total=25).rdd.getNumPartitions() == 3
 
 
+def test_paged_items_of_folder(spark, tmp_path, rows):
+    kept = [(f"K{k}", k, f"title {k}") for k in range(250)] + [(None, 7, "no key"), ("K1", None, None), ("K2", 2, "title 2")]
+    table = tmp_path / "library_items.parquet"
+    spark.createDataFrame(kept, "item_key string, version int, title string").repartition(7).write.parquet(str(table))
+    (table / "_notes").write_text("no part of the table")
+    expected = Counter((key, version, hashlib.md5((title or "").encode()).hexdigest()) for key, version, title in kept)
+    for base in (str(tmp_path), tmp_path.as_uri()):
+        assert {(r.key, r.version, r.title): r.n for r in round_trips.paged_items(spark, base).collect()} == expected
+
+
 def test_sinks(spark, tmp_path, rows):
     df = spark.createDataFrame([("i1", "a1", "text"), ("i2", "a2", ""), ("i3", "a3", "more")], "item_key string, attachment_key string, text string")
     first = dict(rows(sinks.write_texts(df, str(tmp_path / "cache"))))
