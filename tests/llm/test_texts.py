@@ -4,7 +4,7 @@ import json
 import math
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 from marginalia.llm import cooccurrence, language, ocr
 
@@ -213,6 +213,40 @@ def test_the_tail_of_the_lexicon_is_known_too(spark, monkeypatch):
     assert editor.may_be_known("siqnal")
 
 
+def test_any_size_of_the_lexicon_gives_the_same_repairs(spark, monkeypatch):
+    """Known words beyond those held in memory are what misreadings stand for, too, and parts of cut words; paragraphs hold the repairs."""
+    rng = random.Random(9)
+    rows = [(f"K{k}", "ok", pages(rng, True)[0], 0, "") for k in range(40)] + [("h", "ok", " ".join(["tracer-gas low-pressure"] * 3) + "\nof tracer-\ngas and low-\npressure", 0, "")]
+    texts = spark.createDataFrame(rows, P)
+
+    def results():
+        return [sorted(tuple(r) for r in f(texts).collect()) for f in (ocr.repair_cases, ocr.repaired_paragraphs)]
+
+    whole = results()
+    assert sum(kind == "misread" for _, _, kind, _ in whole[0]) > 100
+    monkeypatch.setattr(ocr, "LEXICON", 7)
+    assert results() == whole
+
+
+def test_no_edit_is_dropped_for_better_scored_ones():
+    """However many beginnings score better, the only known word that a misreading leads to is found."""
+    model = ocr.Perceptron()
+    model.weights = {("ca", label): score for label, score in (("=", 3.0), ("x", 2.0), ("y", 1.0))}
+    lexicon = {"".join(w) + "q": 9 for w in product("axy", repeat=6)} | {"yyyyyyz": 9}
+    assert ocr.Editor(model, {"a": ["=", "x", "y"]}, lexicon).decode("aaaaaaz", 5) == "yyyyyyz"
+
+
+def test_words_of_the_tail_are_looked_up(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abcé温-", k=rng.randint(1, 6))): rng.randint(3, 90) for _ in range(3 * ocr.BLOCK + 1)}
+    tail = ocr.write_tail(spark.createDataFrame(list(words.items()), "word string, n long"))
+    asked = set(words) | {w[:k] for w in words for k in range(len(w))} | {"".join(rng.choices("abcé温-z", k=3)) for _ in range(300)}
+    assert {w: tail.count(w) for w in asked} == {w: words.get(w, 0) for w in asked}
+    assert {w: tail.begins(w) for w in asked} == {w: any(x.startswith(w) for x in words) for w in asked}
+    assert dict(tail.items()) == words
+    assert ocr.write_tail(spark.createDataFrame([], "word string, n long")) is None
+
+
 def test_rare_kinds_of_misreading_are_found(spark):
     """Two letters read for one, in the few words where they occur, are repaired however many other misreadings there are."""
     rng = random.Random(12)
